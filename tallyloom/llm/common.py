@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words, and the pattern of a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -51,3 +52,16 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
 def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows in the order of a hash of ``key``: a bounded sample that reruns repeat."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+
+
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def type_of(spec: str) -> T.DataType:
+    """A type from ``name`` or ``name[]``, without a session: functions are declared when modules are imported."""
+    return T.ArrayType(_TYPES[spec[:-2]]) if spec.endswith("[]") else _TYPES[spec]
+
+
+def struct_of(spec: str) -> T.StructType:
+    """A struct from ``name type, name type, ...``."""
+    return T.StructType([T.StructField(*(n, type_of(t))) for n, t in (x.split() for x in spec.split(","))])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import mixing, quality_rules
+from tallyloom.llm import gif, mixing, near_dup, packing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_best_two_fit": packing.query,
     "op8_mix_sources": mixing.query,
+    "op9_gif": gif.query,
+    "op10_near_dup": near_dup.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op10_near_dup": near_dup.ORACLE,
 }
