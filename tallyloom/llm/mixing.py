@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD_PATTERN, id_text, table
+from tallyloom.llm.common import WORD_PATTERN, id_text, staged, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -52,22 +52,36 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def copies(sizes: DataFrame, targets: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """``sizes`` (doc_id, source, size, other columns) with ``source_size``, ``target`` and ``copies``.
+def source_plan(sizes: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """One stored row per source: ``source``, ``source_size``, ``target``, ``rate`` and the ``seed`` of its draws.
 
-    A source without words, or with a target of 0, gives no copies. One row per source is joined back; its sums are
-    made in the tasks that read the documents, before any shuffle, so a hot source adds no load to one task.
+    ``sizes`` has doc_id, source and size. The sums of all seeds' draws are made in the tasks that read the documents,
+    before any shuffle, so a hot source adds no load to one task.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole, part = F.floor("__mx_rate"), F.col("__mx_rate") - F.floor("__mx_rate")
-    take = lambda i: (whole + (draw(i) < part).cast("long")).cast("long")
-    joined = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"]).withColumn("__mx_rate", rate)
-    off = [F.abs(F.sum(F.col("size") * take(i)) - F.first("target")) for i in range(seeds)]
+    targets = staged(source_targets(sizes.select("source", "size")).withColumn("rate", rate), "targets")
+    joined = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    off = [F.abs(F.sum(F.col("size") * _take(i)) - F.first("target")) for i in range(seeds)]
     trials = joined.groupBy("source").agg(F.array(*off).alias("__mx_off"))
-    seed = trials.select("source", (F.array_position("__mx_off", F.array_min("__mx_off")) - 1).cast("int").alias("__mx_seed"))
-    out = joined.join(seed, joined["source"].eqNullSafe(seed["source"]), "left").drop(seed["source"])
-    chosen = F.coalesce(*[F.when(F.col("__mx_seed") == i, take(i)) for i in range(seeds)], F.lit(0))
-    return out.withColumn("copies", chosen.cast("long")).drop("__mx_rate", "__mx_seed")
+    best = trials.select("source", (F.array_position("__mx_off", F.array_min("__mx_off")) - 1).cast("int").alias("seed"))
+    return staged(targets.join(best, targets["source"].eqNullSafe(best["source"])).drop(best["source"]), "plan")
+
+
+def _take(seed: int, rate: str = "rate") -> Column:
+    return (F.floor(rate) + (draw(seed) < F.col(rate) - F.floor(rate)).cast("long")).cast("long")
+
+
+def copies(docs: DataFrame, plan: DataFrame, seeds: int = SEEDS, out: str = "copies") -> DataFrame:
+    """``docs`` with the struct ``out``: source_size, target and n, how often each row is taken.
+
+    The plan is a stored table of one row per source: Spark broadcasts it where its files are small and splits a hot
+    source's rows where not. A source without words, or with a target of 0, gives no copies.
+    """
+    p = plan.select(F.col("source").alias("__mx_source"), F.col("source_size").alias("__mx_size"), F.col("target").alias("__mx_target"), F.col("rate").alias("__mx_rate"), F.col("seed").alias("__mx_seed"))
+    n = F.coalesce(*[F.when(F.col("__mx_seed") == i, _take(i, "__mx_rate")) for i in range(seeds)], F.lit(0)).cast("long")
+    got = F.struct(F.col("__mx_size").alias("source_size"), F.col("__mx_target").alias("target"), n.alias("n"))
+    joined = docs.join(p, docs["source"].eqNullSafe(p["__mx_source"]), "left")
+    return joined.withColumn(out, got).drop(*p.columns)
 
 
 def mix(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
@@ -76,17 +90,16 @@ def mix(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     Null texts have size 0 and, like all rows, follow their source's rate. Repeated rows draw alike. An empty table
     gives an empty one. Sizes and draws are computed before texts are repeated.
     """
-    names = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text"))).select(F.struct(*names).alias("__mx_row"), "doc_id", "source", "size")
-    mixed = copies(sized, source_targets(sized.select("source", "size")), seeds)
-    return mixed.withColumn("__mx_i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__mx_row.*")
+    plan = source_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seeds)
+    taken = copies(docs, plan, seeds, "__mx_taken")
+    return taken.withColumn("__mx_i", F.explode(F.array_repeat(F.lit(0), F.col("__mx_taken.n").cast("int")))).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the words each of all documents gives to the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = copies(docs, source_targets(docs.select("source", "size")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    out = copies(docs, source_plan(docs))
+    return out.select("doc_id", "source", "size", "copies.source_size", "copies.target", (F.col("size") * F.col("copies.n")).alias("taken"))
 
 
 _TAKE = "(floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || {i} || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT"

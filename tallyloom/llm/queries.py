@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import gif, mixing, near_dup, packing, quality_rules
+from tallyloom.llm import fm_quality, gif, html_text, language_id, mixing, near_dup, packing, quality_rules, secrets_scan, toxicity
 
 QUERIES = {
+    "op1_quality_fm": fm_quality.query,
     "op2_quality_rules": quality_rules.query,
     "op3_best_two_fit": packing.query,
+    "op4_language_id": language_id.query,
+    "op5_html_text": html_text.query,
+    "op6_toxicity": toxicity.query,
+    "op7_secrets": secrets_scan.query,
     "op8_mix_sources": mixing.query,
     "op9_gif": gif.query,
     "op10_near_dup": near_dup.query,
