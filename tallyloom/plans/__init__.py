@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its SQL."""
 
-from tallyloom.plans import scan_join
+from tallyloom.plans import aggregates, scan_join, windows
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scan_join"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "scan_join", "windows"]
