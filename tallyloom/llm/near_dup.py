@@ -5,11 +5,13 @@ hashes fall into ``BINS`` bins by their high bits and each bin keeps its least h
 the first filled bin in an order of all bins drawn for it, so bins agree with a probability of the Jaccard similarity
 and independently also for short texts. ``ROWS`` bins make a band and equal bands a bucket.
 
-In a bucket only edges to hubs are candidates: first one hub, linked to every other member, so a bucket of m members
-has m - 1 candidates. Links are confirmed on full sets, components follow, and buckets whose members lie in one
-component are done. In the others the hub, which has met everyone, leaves, and up to ``SLOTS`` new hubs meet the
-members outside their own component, until no bucket is open. No pair of a bucket's members in different components
-is left unchecked, and no group is expanded into all its pairs.
+In a bucket only edges to hubs are candidates: first one hub, the member that meets most others in all its buckets,
+linked to every other member, so a bucket of m members has m - 1 candidates. Links are confirmed on full sets,
+components follow, and buckets whose members lie in one component are done. In the others the hub, which has met
+everyone, leaves, and new hubs, taken outside the bucket's largest component, ``SLOTS`` at first and eight times as
+many each round, meet the members of other components and leave, until no bucket is open. So every pair of a bucket's
+members in different components is checked, but those that sketches of ``SKETCH`` bins rule out with five standard
+deviations to spare, and no group is expanded into all its pairs.
 
 A pair at similarity 0.75 exactly shares no bucket with probability (1 - 0.75**5)**48, about 2e-6; at 0.8 it is 4e-9.
 """
@@ -31,22 +33,28 @@ from tallyloom.llm.shingles import mix, overlap, shingle_sets
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
-SLOTS = 16
+SLOTS = 32
+#: Numbers in a sketch, and the differing fields up to which a pair is checked: five standard deviations above the
+#: mean of a pair at similarity 0.75.
+SKETCH = 512
+FIELDS = -(-SKETCH // 15)
+_ODD = 0.25 * 15 / 16
+DIFFERENT = int(SKETCH * _ODD + 5 * (SKETCH * _ODD * (1 - _ODD)) ** 0.5)
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
 
-@functools.lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First hash of each bin; for each bin an order of all bins; a salt for each band."""
-    edge = [(i << 64) // BINS for i in range(BINS)]
-    rank = mix(np.arange(BINS * BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BINS, BINS)
-    return np.array(edge, np.uint64), np.argsort(rank, axis=1, kind="stable"), mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+@functools.lru_cache(2)
+def _tables(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """First hash of each bin; for each bin an order of all bins."""
+    edge = [(i << 64) // bins for i in range(bins)]
+    rank = mix(np.arange(bins * bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(bins, bins)
+    return np.array(edge, np.uint64), np.argsort(rank, axis=1, kind="stable")
 
 
-def bin_minima(sorted_set: np.ndarray) -> np.ndarray:
+def bin_minima(sorted_set: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The least hash of each bin, empty bins densified, of a non-empty sorted set."""
-    edge, order, _ = _tables()
+    edge, order = _tables(bins)
     first = np.searchsorted(sorted_set, edge)
     value = sorted_set[np.minimum(first, len(sorted_set) - 1)]
     filled = np.append(first[1:], len(sorted_set)) > first
@@ -63,27 +71,34 @@ def bin_minima(sorted_set: np.ndarray) -> np.ndarray:
     return value
 
 
-def band_keys(sorted_set: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray) -> np.ndarray:
     """A 64-bit bucket key for each band."""
-    x = bin_minima(sorted_set).reshape(BANDS, ROWS)
-    key = _tables()[2].copy()
+    x = minima.reshape(BANDS, ROWS)
+    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + x[:, j])
     return key
 
 
+def sketch(sorted_set: np.ndarray) -> np.ndarray:
+    """Four bits of each bin's least hash, 15 bins to a number: two sketches' equal fields estimate similarity."""
+    fields = np.zeros(FIELDS * 15, np.uint64)
+    fields[:SKETCH] = mix(bin_minima(sorted_set, SKETCH)) & np.uint64(15)
+    return (fields.reshape(FIELDS, 15) << (np.arange(15, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def _signature(text):
     out = []
     for s in shingle_sets(list(text)):
         if len(s):
             d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(s).view(np.int64)))
+            out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(bin_minima(s)).view(np.int64), sketch(s)))
         else:
-            out.append((0, 0, 0, None))
-    return pd.DataFrame(out, columns=["n", "k1", "k2", "bands"])
+            out.append((0, 0, 0, None, None))
+    return pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sketch"])
 
 
-@F.pandas_udf(struct_of("n long, k1 long, k2 long, bands long[]"))
+@F.pandas_udf(struct_of("n long, k1 long, k2 long, bands long[], sketch long[]"))
 def signature(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for text in parts:
         yield _signature(text)
@@ -111,35 +126,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where("__ok").select("u", "v")
 
 
-def _alike_in_size(a: str, b: str):
-    return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
+def _promising():
+    """Whether two members can be linked by their sizes, and by their sketches but for one pair in millions."""
+    sizes = F.lit(100) * F.least("n", "m") >= F.lit(PERCENT) * F.greatest("n", "m")
+    odd = F.lit(0)
+    for i in range(FIELDS):
+        x = F.col(f"sketch.s{i}").bitwiseXOR(F.col(f"other.s{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        odd = odd + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x111111111111111)))
+    return sizes & (odd <= DIFFERENT)
 
 
 def links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``members(key, node, n)`` that are linked with another."""
-    hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("h"))
-    hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
-    met = members.withColumnRenamed("node", "u").join(hub, "key")
-    pairs = met.where((F.col("u") != F.col("v")) & _alike_in_size("n", "m")).select("u", "v").distinct()
-    label = components(_confirmed(staged(pairs, "pairs"), texts))
-    left = met.where("u <> v").select("key", F.col("u").alias("node"), "n")
+    """``(node, label)`` for the nodes of ``members(key, node, n, rank, sketch)`` that are linked with another.
+
+    A bucket's hub is the member of lowest rank.
+    """
+    hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "sketch")).alias("h"))
+    hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m"), F.col("h.sketch").alias("other")), "hubs")
+    met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
+    pairs = met.where(_promising()).select("u", "v").distinct()
+    pairs = staged(pairs, "pairs")
+    label = components(_confirmed(pairs, texts))
+    checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
+    left = met.select("key", F.col("u").alias("node"), "n", "rank", "sketch")
+    slots = SLOTS
     while True:
-        known = left.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("c"))
-        known = staged(known, "known")
-        torn = staged(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "torn")
-        left = staged(known.join(torn, "key", "left_semi"), "left")
+        known = staged(left.join(label, "node", "left").select("key", "node", "n", "rank", "sketch", F.coalesce("label", "node").alias("c")), "known")
+        shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+        torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
+        left = staged(known.join(staged(torn.where("parts > 1").select("key", "most"), "torn"), "key"), "left")
         if left.isEmpty():
             return label
-        slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SLOTS))
-        hub = left.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("h"))
-        hub = staged(hub.select("key", "h.v", "h.m", "h.d"), "hubs")
-        met = left.join(hub, "key").where((F.col("c") != F.col("d")) & _alike_in_size("n", "m"))
+        slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots))
+        hub = left.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
+        hub = staged(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
+        met = left.join(hub, "key").where((F.col("c") != F.col("d")) & _promising())
         pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        new = staged(_confirmed(staged(pairs, "pairs"), texts), "links")
+        for known in checked:
+            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        checked.append(staged(pairs, "pairs"))
+        new = staged(_confirmed(checked[-1], texts), "links")
         if not new.isEmpty():
             chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
             label = components(chain.unionByName(new))
-        left = staged(left.select("key", "node", "n").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
+        left = staged(left.select("key", "node", "n", "rank", "sketch").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
+        slots *= 8
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,11 +184,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     signed = staged(docs.withColumn("s", signature.asNondeterministic()("text")).select("doc_id", "s.*"), "signatures")
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
     node = staged(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    ours = real.select(F.col("doc_id").alias("node"), "n", "k1", "k2", "bands").join(node, ["k1", "k2", "node"], "left_semi")
+    ours = real.select(F.col("doc_id").alias("node"), "n", "k1", "k2", "bands", "sketch").join(node, ["k1", "k2", "node"], "left_semi")
     rows = ours.select("node", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = staged(rows.join(staged(full, "buckets"), "key", "left_semi"), "members")
-    wanted = staged(members.select("node").distinct(), "wanted")
+    full = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    members = staged(rows.join(staged(full, "buckets"), "key"), "members")
+    # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
+    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", F.struct(*[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(FIELDS)]).alias("sketch")), "node")
+    wanted = staged(wanted.dropDuplicates(["node"]), "wanted")
+    members = staged(members.select("key", "node", "n").join(wanted, "node"), "ranked")
     texts = staged(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), "texts")
     label = links(members, texts)
     named = staged(node.join(label, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
