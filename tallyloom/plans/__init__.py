@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its SQL."""
 
-from tallyloom.plans import aggregates, scan_join, texts, windows
+from tallyloom.plans import aggregates, graphs, scan_join, statistics, texts, windows
 from tallyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "scan_join", "texts", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "graphs", "scan_join", "statistics", "texts", "windows"]

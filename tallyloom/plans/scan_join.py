@@ -27,9 +27,9 @@ def joined_grid(spark, sf):
     return grid.join(got, ["id", "condition"], "left").withColumn("correct", is_correct())
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 500 AND lang = 'en'")
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 2000 AND lang = 'en'")
 def pruned_scan(spark, sf):
-    return readers.pruned(table(spark, sf, "documents"), ["doc_id", "lang", "absent", "n_chars"]).where("doc_id < 500 AND lang = 'en'")
+    return readers.pruned(table(spark, sf, "documents"), ["doc_id", "lang", "absent", "n_chars"]).where("n_chars > 2000 AND lang = 'en'")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -99,10 +99,10 @@ def anti_join_unscheduled(spark, sf):
     return state.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
 
 
-@query("SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE lang = 'en')")
 def semi_join_novel_template(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("t"))
-    return d.join(d.where("doc_id % 2 = 0").select("t"), "t", "left_semi").select("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("t"))
+    return d.join(d.where("lang = 'en'").select("t"), "t", "left_semi").select("doc_id")
 
 
 @query(f"""WITH {S}, st AS (SELECT unnest({STATUSES + ["missing"]!r}) AS status),
@@ -186,9 +186,9 @@ def except_both_ways(spark, sf):
     return d.exceptAll(l).withColumn("side", F.lit("only_documents")).unionByName(l.exceptAll(d).withColumn("side", F.lit("only_labels")))
 
 
-@query("SELECT count(*) AS shared FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT DISTINCT doc_id FROM labels WHERE doc_id % 3 = 0)")
+@query("SELECT count(*) AS shared FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT doc_id FROM labels WHERE quality = 1)")
 def split_overlap(spark, sf):
-    a, b = table(spark, sf, "documents").select("doc_id").where("doc_id % 2 = 0"), table(spark, sf, "labels").select("doc_id").where("doc_id % 3 = 0")
+    a, b = table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), table(spark, sf, "labels").where("quality = 1").select("doc_id")
     return a.intersect(b).agg(F.count(F.lit(1)).alias("shared"))
 
 

@@ -224,9 +224,9 @@ def reorder_level(spark, sf):
     return mcq(spark).where("opts IS NOT NULL").select("id", level.alias("reorder_level"))
 
 
-@query("SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n_words, regexp_replace(lower(text[1:60]), '^(the|a|an|this|that) ', '') AS head FROM documents")
+@query("SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n_words, regexp_replace(lower(text), '^(the|a|an|this|that) ', '') AS head FROM documents")
 def text_measures(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).cast("long").alias("n_words"), tx.strip_article(F.substring("text", 1, 60)).alias("head"))
+    return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).cast("long").alias("n_words"), tx.strip_article(F.col("text")).alias("head"))
 
 
 @query(f"WITH {EV} SELECT id, condition, {L("'mock|' || id || '|' || condition")} AS mock_answer FROM (SELECT DISTINCT id, condition FROM ev)")
