@@ -56,8 +56,9 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType, corrupt: str = "
     if corrupt == "fail":
         return spark.read.json(path, schema=schema, mode="FAILFAST")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.json(path, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return df.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return rows.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType, key: list[str]) -> DataFrame:
