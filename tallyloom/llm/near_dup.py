@@ -10,8 +10,8 @@ linked to every other member, so a bucket of m members has m - 1 candidates. Lin
 components follow, and buckets whose members lie in one component are done. In the others the hub, which has met
 everyone, leaves, and new hubs, taken outside the bucket's largest component, ``SLOTS`` at first and eight times as
 many each round, meet the members of other components and leave, until no bucket is open. So every pair of a bucket's
-members in different components is checked, but those that sketches of ``SKETCH`` bins rule out with five standard
-deviations to spare, and no group is expanded into all its pairs.
+members in different components is checked, but those that sketches of ``SKETCH`` bins rule out (one in
+100,000 of those at similarity 0.75), and no group is expanded into all its pairs.
 
 A pair at similarity 0.75 exactly shares no bucket with probability (1 - 0.75**5)**48, about 2e-6; at 0.8 it is 4e-9.
 """
@@ -34,12 +34,12 @@ from tallyloom.llm.shingles import mix, overlap, shingle_sets
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 SLOTS = 32
-#: Numbers in a sketch, and the differing fields up to which a pair is checked: five standard deviations above the
-#: mean of a pair at similarity 0.75.
+#: Numbers in a sketch, and the differing fields up to which a pair is checked: 4.3 standard deviations above the
+#: mean of a pair at similarity 0.75, so that one such pair in 100,000 is ruled out.
 SKETCH = 512
 FIELDS = -(-SKETCH // 15)
 _ODD = 0.25 * 15 / 16
-DIFFERENT = int(SKETCH * _ODD + 5 * (SKETCH * _ODD * (1 - _ODD)) ** 0.5)
+DIFFERENT = int(SKETCH * _ODD + 4.3 * (SKETCH * _ODD * (1 - _ODD)) ** 0.5)
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -126,42 +126,47 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where("__ok").select("u", "v")
 
 
-def _promising():
-    """Whether two members can be linked by their sizes, and by their sketches but for one pair in millions."""
-    sizes = F.lit(100) * F.least("n", "m") >= F.lit(PERCENT) * F.greatest("n", "m")
-    odd = F.lit(0)
-    for i in range(FIELDS):
-        x = F.col(f"sketch.s{i}").bitwiseXOR(F.col(f"other.s{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        odd = odd + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x111111111111111)))
-    return sizes & (odd <= DIFFERENT)
+def _near_in_size():
+    return F.lit(100) * F.least("n", "m") >= F.lit(PERCENT) * F.greatest("n", "m")
 
 
-def links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``members(key, node, n, rank, sketch)`` that are linked with another.
+def _near_in_sketch():
+    # Functions on arrays: one expression of all fields would be a method too large for the JIT compiler.
+    apart = F.zip_with("sketch", "other", lambda x, y: x.bitwiseXOR(y))
+    folded = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    counts = F.transform(apart, lambda x: F.bit_count(folded(x).bitwiseAND(F.lit(0x111111111111111))))
+    odd = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return odd <= DIFFERENT
 
-    A bucket's hub is the member of lowest rank.
+
+def links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, label)`` for the nodes of ``members(key, node, n, rank)`` that are linked with another.
+
+    A bucket's hub is the member of lowest rank. ``nodes`` has node and sketch, ``texts`` node and text.
     """
-    hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "sketch")).alias("h"))
-    hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m"), F.col("h.sketch").alias("other")), "hubs")
+    hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
+    hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
     met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
-    pairs = met.where(_promising()).select("u", "v").distinct()
+    pairs = staged(met.where(_near_in_size()).select("u", "v").distinct(), "met")
+    pairs = pairs.join(nodes.select(F.col("node").alias("u"), "sketch"), "u")
+    pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
     pairs = staged(pairs, "pairs")
     label = components(_confirmed(pairs, texts))
     checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
-    left = met.select("key", F.col("u").alias("node"), "n", "rank", "sketch")
+    left = met.select("key", F.col("u").alias("node"), "n", "rank")
     slots = SLOTS
     while True:
-        known = staged(left.join(label, "node", "left").select("key", "node", "n", "rank", "sketch", F.coalesce("label", "node").alias("c")), "known")
+        known = staged(left.join(label, "node", "left").select("key", "node", "n", "rank", F.coalesce("label", "node").alias("c")), "known")
         shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
         torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
         left = staged(known.join(staged(torn.where("parts > 1").select("key", "most"), "torn"), "key"), "left")
         if left.isEmpty():
             return label
+        drawn = staged(left.join(nodes.select("node", "sketch"), "node"), "drawn")
         slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots))
-        hub = left.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
+        hub = drawn.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
         hub = staged(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
-        met = left.join(hub, "key").where((F.col("c") != F.col("d")) & _promising())
+        met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
         pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
         for known in checked:
             pairs = pairs.join(known, ["u", "v"], "left_anti")
@@ -170,7 +175,7 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame:
         if not new.isEmpty():
             chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
             label = components(chain.unionByName(new))
-        left = staged(left.select("key", "node", "n", "rank", "sketch").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
+        left = staged(left.select("key", "node", "n", "rank").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
         slots *= 8
 
 
@@ -186,14 +191,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     node = staged(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     ours = real.select(F.col("doc_id").alias("node"), "n", "k1", "k2", "bands", "sketch").join(node, ["k1", "k2", "node"], "left_semi")
     rows = ours.select("node", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staged(rows.join(staged(full, "buckets"), "key"), "members")
     # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
-    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", F.struct(*[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(FIELDS)]).alias("sketch")), "node")
+    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", "sketch"), "node")
     wanted = staged(wanted.dropDuplicates(["node"]), "wanted")
-    members = staged(members.select("key", "node", "n").join(wanted, "node"), "ranked")
-    texts = staged(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), "texts")
-    label = links(members, texts)
+    members = staged(members.select("key", "node", "n").join(wanted.select("node", "rank"), "node"), "ranked")
+    texts = staged(docs.withColumnRenamed("doc_id", "node").join(wanted.select("node"), "node", "left_semi"), "texts")
+    label = links(members, wanted.select("node", "sketch"), texts)
     named = staged(node.join(label, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
