@@ -169,8 +169,7 @@ def test_readers_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="header"):
         readers.contract_csv(spark, str(tmp_path / "c"), ["id"])
     sinks.write_jsonl(df, str(tmp_path / "j"))
-    with open(next((tmp_path / "j").glob("part*")), "a") as f:
-        f.write("{broken\n\n")
+    (tmp_path / "j" / "part-broken.json").write_text("{broken\n\n")
     assert readers.jsonl(spark, str(tmp_path / "j"), df.schema).count() == 2
     with pytest.raises(Exception):  # noqa: B017
         readers.jsonl(spark, str(tmp_path / "j"), df.schema, "fail").collect()
