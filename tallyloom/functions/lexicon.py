@@ -125,3 +125,11 @@ def tag_questions(questions: DataFrame) -> DataFrame:
     }
     flags = {f"op_{n}": has(stem, n) for n in ("left_right", "front_back", "up_down", "compass", "rotation_sense", "angle", "route", "overlap", "same_place", "hedge", "conditional", "cam_motion", "obj_motion", "direction_query", "count_stem", "camera_word", "camera_self", "object_ref", "image_as_place")}
     return q.select("id", "answer_space", "frame", *[c.alias(n) for n, c in {**out, **flags}.items()])
+
+
+def image_references(text: Column) -> Column:
+    """Image references in order of appearance, as numbers or ``last``; index and ordinal forms alike."""
+    number = F.create_map(*[F.lit(x) for kv in zip("first second third fourth fifth".split(), "12345") for x in kv])
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\bimage\s*(?:\d+)\b|\b(?:first|second|third|fourth|fifth|last) (?:image|picture|photo|view)\b"), F.lit(0))
+    word = lambda x: F.split_part(x, F.lit(" "), F.lit(1))
+    return F.transform(found, lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit("")), F.when(word(x) == "last", "last").otherwise(F.element_at(number, word(x)))))

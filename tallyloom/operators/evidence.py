@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import staged
+
 _CROSS = "struct<status:string,uncertainty:string>"
 SCHEMA = (
     "schema_version string, query_frame struct<frame:string,basis:string>, temporal_order struct<status:string,order:array<string>,basis:string>, "
@@ -185,3 +187,26 @@ def coverage(df: DataFrame) -> DataFrame:
         F.exists(F.col("inv.entities"), lambda e: e["cross_view"].isNotNull()).alias("has_cross_view"),
         (F.col("inv.temporal_order.status") == "supported").alias("has_order"),
     )
+
+
+#: How each kind's sentence begins or reads; lines of a flat rendering are told apart by them.
+_KINDS = {
+    "query_frame": r"\AQuery frame: ", "temporal_order": r"\ATemporal order: ", "camera": r"\ACamera cam\d+ took ", "entity": r"\Ae\d+ is an? \w+ labeled ", "observation": r"\AIn image_\d+ \(\w+\), ",
+    "identity_link": r"\AIdentity link between ", "claim": r"\A(?:Across views|In frame )", "unknown": r"\AUnknown: ",
+}
+
+
+def parse_flat(rendered: DataFrame) -> DataFrame:
+    """Atoms (id, kind, atom_id, text) read back from flat renderings; a line that fits no kind has a null kind."""
+    line = rendered.select("id", F.explode(F.split("flat", "\n")).alias("line"))
+    line = line.select("id", F.regexp_extract("line", r"\A\[([^\]]+)\] ", 1).alias("atom_id"), F.regexp_replace("line", r"\A\[[^\]]+\] ", "").alias("text"))
+    kind = F.coalesce(*[F.when(F.col("text").rlike(p), k) for k, p in _KINDS.items()])
+    return line.select("id", kind.alias("kind"), "atom_id", "text")
+
+
+def equivalence(inventories: DataFrame) -> DataFrame:
+    """Per side, how many atoms are lost or made up by rendering and parsing again: 0 and 0 if nothing is."""
+    made = staged(atoms(inventories), "atoms")
+    a, b = made.select("id", "kind", "atom_id", "text"), parse_flat(flat(made))
+    lost, extra = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("n"))
+    return lost.select(F.lit("lost").alias("side"), "n").unionByName(extra.select(F.lit("extra").alias("side"), "n"))

@@ -138,13 +138,13 @@ def flat_render(spark, sf):
     return evidence.flat(evidence.atoms(good)).join(evidence.graph_text(good), "id")
 
 
-_CUR = "cur AS (SELECT user_id AS reviewer, min(event_id) AS item, min(value) AS seconds, min(event_type) AS answer, min(event_id) AS created FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), inc AS (SELECT user_id AS reviewer, min(event_id) AS item, max(value) AS seconds, max(event_type) AS answer, max(event_id) AS created FROM events WHERE event_type <> 'click' GROUP BY 1)"
+_CUR = "cur AS (SELECT user_id AS reviewer, user_id % 10 AS item, min(value) AS seconds, min(event_type) AS answer, min(event_id) AS created FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2), inc AS (SELECT user_id AS reviewer, user_id % 10 AS item, max(value) AS seconds, max(event_type) AS answer, max(event_id) AS created FROM events WHERE event_type <> 'click' GROUP BY 1, 2)"
 
 
 def _reviews(spark, sf):
     e = table(spark, sf, "events")
-    cur = e.where("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("reviewer")).agg(F.min("event_id").alias("item"), F.min("value").alias("seconds"), F.min("event_type").alias("answer"), F.min("event_id").alias("created"))
-    inc = e.where("event_type <> 'click'").groupBy(F.col("user_id").alias("reviewer")).agg(F.min("event_id").alias("item"), F.max("value").alias("seconds"), F.max("event_type").alias("answer"), F.max("event_id").alias("created"))
+    cur = e.where("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("reviewer"), (F.col("user_id") % 10).alias("item")).agg(F.min("value").alias("seconds"), F.min("event_type").alias("answer"), F.min("event_id").alias("created"))
+    inc = e.where("event_type <> 'click'").groupBy(F.col("user_id").alias("reviewer"), (F.col("user_id") % 10).alias("item")).agg(F.max("value").alias("seconds"), F.max("event_type").alias("answer"), F.max("event_id").alias("created"))
     return cur, inc
 
 
@@ -201,3 +201,35 @@ def tumbling_windows(spark, sf):
 def tumbling_windows_stream(spark, sf):
     """The same windows from a stream of the events, run to its end into the shared folder."""
     return stream.run_to_end(spark, f"{sf}/events.parquet", "6 hours")
+
+
+@query("SELECT * FROM (VALUES ('lost', 0::BIGINT), ('extra', 0::BIGINT)) t(side, n)")
+def flat_equivalence(spark, sf):
+    return evidence.equivalence(_frame(spark).where(evidence.first_error().isNull()))
+
+
+@query("""WITH x AS (SELECT d.doc_id AS expected, l.doc_id AS found, l.quality, count(*) OVER (PARTITION BY l.doc_id) AS n FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id)
+SELECT coalesce(expected, found) AS doc_id, CASE WHEN found IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' WHEN quality NOT IN (0, 1) THEN 'enum' ELSE 'ok' END AS violation FROM x""")
+def label_file_checks(spark, sf):
+    """First violation of each label row against the documents it should cover."""
+    n = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("found")).agg(F.count(F.lit(1)).alias("n"), F.min("quality").alias("quality"))
+    x = table(spark, sf, "documents").select(F.col("doc_id").alias("expected")).join(n, F.col("expected") == F.col("found"), "full")
+    v = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").when(F.col("n") > 1, "duplicate").when(~F.col("quality").isin(0, 1), "enum").otherwise("ok")
+    return x.select(F.coalesce("expected", "found").alias("doc_id"), v.alias("violation"))
+
+
+@query("""WITH d AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN 'Z' ELSE '' END AS iso FROM events)
+SELECT event_id, epoch(strptime(replace(iso, 'Z', ''), '%Y-%m-%dT%H:%M:%S'))::BIGINT AS seconds, epoch(strptime(substr(iso, 1, 10), '%Y-%m-%d') + INTERVAL 1 DAY - INTERVAL 1 SECOND)::BIGINT AS deadline FROM d""")
+def iso_deadlines(spark, sf):
+    """ISO times with and without a zone as epoch seconds, and the last second of their day."""
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise(""))
+    t = F.to_timestamp_ltz(F.regexp_replace(iso, "Z$", "")).alias("t")
+    d = table(spark, sf, "events").select("event_id", t)
+    return d.select("event_id", F.unix_seconds("t").alias("seconds"), F.unix_seconds(F.date_trunc("day", "t") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 SECOND")).alias("deadline"))
+
+
+@query("""SELECT doc_id, sha256('{"images":["' || sha256(text) || '"],"model":"m","prompt":"' || lang || '","temperature":0.0}') AS cache_key FROM documents""")
+def cache_key(spark, sf):
+    """Key of a request: a hash of its canonical JSON, in which content is replaced by its digest."""
+    req = F.to_json(F.struct(F.array(F.sha2("text", 256)).alias("images"), F.lit("m").alias("model"), F.col("lang").alias("prompt"), F.lit(0.0).alias("temperature")))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(req, 256).alias("cache_key"))

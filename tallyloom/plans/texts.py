@@ -239,3 +239,26 @@ def variant_fan_out(spark, sf):
     d = table(spark, sf, "documents")
     eligible = F.array(F.struct(F.lit("orig").alias("variant"), F.lit(True).alias("ok")), F.struct(F.lit("mirror").alias("variant"), F.col("text").rlike("(?i)(the|de)").alias("ok")), F.struct(F.lit("reorder").alias("variant"), (F.col("n_chars") > 1000).alias("ok")), F.struct(F.lit("shuffle").alias("variant"), F.lit(True).alias("ok")))
     return d.select("doc_id", "text", F.explode(F.filter(eligible, lambda x: x["ok"])).alias("v")).select("doc_id", "v.variant", F.concat_ws("|", F.substring("text", 1, 20), "v.variant").alias("prompt"))
+
+
+@query(f"""WITH {_P}, t AS (SELECT doc_id, unnest(list_distinct({_T('text')})) AS token FROM documents), c AS (SELECT t.token, count(*) AS n, count(*) FILTER (WHERE l.quality = 1) AS ok FROM t JOIN labels l ON l.doc_id = t.doc_id GROUP BY 1),
+o AS (SELECT id, unnest([0, 1, 2, 3]) AS i, unnest(opts) AS opt FROM g WHERE good), w AS (SELECT id, i, unnest(list_distinct({_T('opt')})) AS token FROM o),
+pr AS (SELECT w.id, w.i, round(avg(coalesce(ln((c.ok + 1) / (c.n - c.ok + 3)), ln(1.0 / 3))), 9) AS v FROM w LEFT JOIN c ON c.token = w.token GROUP BY 1, 2), mx AS (SELECT *, max(v) OVER (PARTITION BY id) AS top FROM pr), h AS (SELECT *, (abs(v - top) <= 1e-8 + 1e-5 * abs(top))::INT AS hit FROM mx)
+SELECT id, substr('ABCD', i + 1, 1) AS letter, round(hit / sum(hit) OVER (PARTITION BY id), 6) AS chance FROM h""")
+def content_prior_policy(spark, sf):
+    """Options by the mean log-odds of their tokens among labelled documents; unseen tokens count ln(1/3)."""
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    c = t.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("ok"))
+    w = mcq(spark).where("opts IS NOT NULL").select("id", F.posexplode("opts").alias("i", "opt")).select("id", "i", F.explode(F.array_distinct(tx.tokens(F.col("opt")))).alias("token"))
+    odds = F.coalesce(F.log((F.col("ok") + 1) / (F.col("n") - F.col("ok") + 3)), F.log(F.lit(1.0) / 3))
+    p = w.join(c, "token", "left").groupBy("id", "i").agg(F.round(F.avg(odds), 9).alias("v"))
+    per = p.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
+    return per.select("id", F.posexplode(op.extremum_policy(F.col("v"))).alias("i", "p")).select("id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("letter"), r6("p").alias("chance"))
+
+
+REFERENCES = [(1, "In the second image, and in Image 3, then the last picture", "2,3,last"), (2, "first photo of image 10", "1,10"), (3, "no reference", ""), (4, "the Fifth view; image1", "5,1")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, _, r in REFERENCES) + ") t(id, refs)")
+def image_references(spark, sf):
+    return spark.createDataFrame([x[:2] for x in REFERENCES], "id int, t string").select("id", F.array_join(lexicon.image_references(F.col("t")), ",").alias("refs"))
