@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.sources.staging import shared_dir, staged
+
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "fold", "hash_sample", "id_text", "shared_dir", "staged", "struct_of", "table", "type_of", "words"]
+
 #: The white space that separates words, and the pattern of a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -18,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"{tempfile.gettempdir()}/tallyloom-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import staged, struct_of, table, type_of
-from tallyloom.llm.graph import components
 from tallyloom.llm.shingles import mix, overlap, shingle_sets
+from tallyloom.operators.graph import components
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
@@ -168,8 +168,7 @@ def links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         hub = staged(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
         met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
         pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        for known in checked:
-            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti")
         checked.append(staged(pairs, "pairs"))
         new = staged(_confirmed(checked[-1], texts), "links")
         if not new.isEmpty():
