@@ -2,16 +2,19 @@
 
 Every distinct shingle set becomes a node, named by the smallest doc_id that has it; exact copies end there. A node's
 hashes fall into ``BINS`` bins by their high bits and each bin keeps its least hash. An empty bin takes the value of
-the first filled bin in an order of all bins drawn for it, so bins agree with a probability of the Jaccard similarity
-and independently also for short texts. ``ROWS`` bins make a band and equal bands a bucket.
+the first filled bin in an order of all bins drawn for it, so bins agree with a probability of the Jaccard similarity.
+``ROWS`` bins make a band and equal bands a bucket. Sets of up to ``SHORT`` shingles take minima of ``BINS``
+independent hashes instead, as two of few shingles in one bin shift many; sizes that meet both kinds have both buckets.
 
 In a bucket only edges to hubs are candidates: first one hub, the member that meets most others in all its buckets,
 linked to every other member, so a bucket of m members has m - 1 candidates. Links are confirmed on full sets,
 components follow, and buckets whose members lie in one component are done. In the others the hub, which has met
 everyone, leaves, and new hubs, taken outside the bucket's largest component, ``SLOTS`` at first and eight times as
 many each round, meet the members of other components and leave, until no bucket is open. So every pair of a bucket's
-members in different components is checked, but those that sketches of ``SKETCH`` bins rule out (one in
-100,000 of those at similarity 0.75), and no group is expanded into all its pairs.
+members in different components is checked, but those whose sizes or sketches prove them too far apart, and no group
+is expanded into all its pairs. A sketch holds the parity of the number of shingles in each of ``SKETCH`` classes: a
+shingle that only one of two sets has changes one bit, so sets differ in at least as many shingles as their sketches in
+bits, and no pair that meets the similarity is ruled out.
 
 A pair at similarity 0.75 exactly shares no bucket with probability (1 - 0.75**5)**48, about 2e-6; at 0.8 it is 4e-9.
 """
@@ -33,13 +36,10 @@ from tallyloom.operators.graph import components
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
+SHORT = 32
 SLOTS = 32
-#: Numbers in a sketch, and the differing fields up to which a pair is checked: 4.3 standard deviations above the
-#: mean of a pair at similarity 0.75, so that one such pair in 100,000 is ruled out.
-SKETCH = 512
-FIELDS = -(-SKETCH // 15)
-_ODD = 0.25 * 15 / 16
-DIFFERENT = int(SKETCH * _ODD + 4.3 * (SKETCH * _ODD * (1 - _ODD)) ** 0.5)
+#: Bits of a sketch.
+SKETCH = 2048
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -80,11 +80,26 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key
 
 
+def short_minima(sorted_set: np.ndarray) -> np.ndarray:
+    """The least of each of ``BINS`` independent hashes of a short non-empty set."""
+    salt = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(sorted_set[None, :] ^ salt[:, None]).min(1)
+
+
+def bucket_keys(sorted_set: np.ndarray) -> np.ndarray:
+    """The keys of a set's buckets: sets of sizes that can be similar have keys of one kind in common."""
+    n, keys = len(sorted_set), []
+    if n <= SHORT:
+        keys.append(band_keys(short_minima(sorted_set)))
+    if 100 * n >= PERCENT * (SHORT + 1):
+        keys.append(band_keys(bin_minima(sorted_set)))
+    return np.concatenate(keys)
+
+
 def sketch(sorted_set: np.ndarray) -> np.ndarray:
-    """Four bits of each bin's least hash, 15 bins to a number: two sketches' equal fields estimate similarity."""
-    fields = np.zeros(FIELDS * 15, np.uint64)
-    fields[:SKETCH] = mix(bin_minima(sorted_set, SKETCH)) & np.uint64(15)
-    return (fields.reshape(FIELDS, 15) << (np.arange(15, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+    """Whether an odd number of shingles falls into each class, 64 classes to a number."""
+    counts = np.bincount((mix(sorted_set) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signature(text):
@@ -92,7 +107,7 @@ def _signature(text):
     for s in shingle_sets(list(text)):
         if len(s):
             d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(bin_minima(s)).view(np.int64), sketch(s)))
+            out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bucket_keys(s).view(np.int64), sketch(s)))
         else:
             out.append((0, 0, 0, None, None))
     return pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sketch"])
@@ -131,25 +146,24 @@ def _near_in_size():
 
 
 def _near_in_sketch():
-    # Functions on arrays: one expression of all fields would be a method too large for the JIT compiler.
-    apart = F.zip_with("sketch", "other", lambda x, y: x.bitwiseXOR(y))
-    folded = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-    counts = F.transform(apart, lambda x: F.bit_count(folded(x).bitwiseAND(F.lit(0x111111111111111))))
-    odd = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return odd <= DIFFERENT
+    """False only for sets that differ in too many shingles: 100 * both >= PERCENT * (n + m - both) bounds n + m - 2 * both."""
+    # Functions on arrays: one expression of all numbers would be a method too large for the JIT compiler.
+    counts = F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return F.lit(100 + PERCENT) * apart <= F.lit(100 - PERCENT) * (F.col("n") + F.col("m"))
 
 
 def links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``members(key, node, n, rank)`` that are linked with another.
 
-    A bucket's hub is the member of lowest rank. ``nodes`` has node and sketch, ``texts`` node and text.
+    A bucket's hub is the member of lowest rank. ``nodes`` has node, n and sketch, ``texts`` node and text.
     """
     hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
     hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
     met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
     pairs = staged(met.where(_near_in_size()).select("u", "v").distinct(), "met")
-    pairs = pairs.join(nodes.select(F.col("node").alias("u"), "sketch"), "u")
-    pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
+    pairs = pairs.join(nodes.select(F.col("node").alias("u"), "n", "sketch"), "u")
+    pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
     pairs = staged(pairs, "pairs")
     label = components(_confirmed(pairs, texts))
     checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
@@ -193,11 +207,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staged(rows.join(staged(full, "buckets"), "key"), "members")
     # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
-    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", "sketch"), "node")
+    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", "n", "sketch"), "node")
     wanted = staged(wanted.dropDuplicates(["node"]), "wanted")
     members = staged(members.select("key", "node", "n").join(wanted.select("node", "rank"), "node"), "ranked")
     texts = staged(docs.withColumnRenamed("doc_id", "node").join(wanted.select("node"), "node", "left_semi"), "texts")
-    label = links(members, wanted.select("node", "sketch"), texts)
+    label = links(members, wanted.select("node", "n", "sketch"), texts)
     named = staged(node.join(label, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -102,6 +102,24 @@ def test_bins_agree_as_similar_as_sets():
         assert abs(same / bins - j) < 0.06
 
 
+def test_no_similar_pair_is_ruled_out_by_a_sketch(spark, docs):
+    # Texts of three shingles, and each with one word more: similarity exactly 0.75.
+    rows = []
+    for k in range(3000):
+        words = [f"p{k}x{i}" for i in range(8)]
+        rows += [(2 * k, " ".join(words[:7])), (2 * k + 1, " ".join(words))]
+    got = nd.find(docs(*rows)).collect()
+    assert [x["doc_id"] for x in got if x["component_id"] != x["doc_id"] // 2 * 2] == []
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(3)
+    for n, more in ((3, 1), (6, 2), (75, 25), (3000, 1000), (20000, 3000)):
+        x = r.integers(0, 2**63, n + more, dtype=np.uint64)
+        bits = np.bitwise_count((nd.sketch(np.sort(x[:n])) ^ nd.sketch(np.sort(x))).view(np.uint64)).sum()
+        assert bits <= more and bits % 2 == more % 2
+
+
 def test_edges(spark, docs, clashing):
     assert nd.find(docs()).count() == 0 and nd.find(docs((1, None))).first()["component_id"] == 1
     c = clashing((2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None))
