@@ -7,6 +7,7 @@ costs at least ``COST`` is a secret of kind ``guess``; spans of the fixed patter
 
 from __future__ import annotations
 
+import base64
 import bisect
 import functools
 import hashlib
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import struct_of, table
+from tallyloom.llm.packing import vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret, and the lengths of values that are judged.
@@ -42,12 +44,22 @@ WORDS = (
 ).split()
 #: Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4013$5!7", "aaoiessit")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
+@functools.lru_cache(1)
+def _ranks() -> tuple[dict[str, int], int]:
+    """Rank of each word, and the longest word: ``WORDS``, then the whole words of the public vocabulary in its order."""
+    with open(vocabulary(), "rb") as f:
+        tokens = (base64.b64decode(x.split()[0]).decode("utf-8", "ignore") for x in f if x.strip())
+        words = [t[1:] for t in tokens if len(t) > 3 and t[0] == " " and t[1:].isalpha() and t.islower()]
+    out: dict[str, int] = {}
+    for w in (*WORDS, *words):
+        out.setdefault(w, len(out) + 1)
+    return out, max(map(len, out))
+
+
 @functools.lru_cache(1)
 def _neighbours() -> set[tuple[str, str]]:
     """Pairs of keys side by side in a row or one above the other."""
@@ -68,26 +80,32 @@ def segments(value: str) -> list[tuple[int, int, str, float]]:
     """Every candidate (start, end, kind, log10 of its guesses) but single characters."""
     out: list[tuple[int, int, str, float]] = []
     low, n = value.lower(), len(value)
+    ranks, longest = _ranks()
     plain = low.translate(_LEET)
+    # From each place, how many characters more repeat or walk on: counted backwards, so time is linear.
+    same = {p: [0] * (n + 1) for p in (1, 2, 3, 4)}
+    steps = [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        for p, more in same.items():
+            if i + p < n and value[i + p] == value[i]:
+                more[i] = more[i + 1] + 1
+        if (low[i], low[i + 1]) in _neighbours():
+            steps[i] = steps[i + 1] + 1
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 turns = sum(a != b for a, b in zip(value[i:j], low[i:j])) and 1
-                leet = _RANK.get(low[i:j]) is None
+                leet = ranks.get(low[i:j]) is None
                 out.append((i, j, "word", math.log10(rank * (1 + turns) * (1 + 3 * leet) + 1)))
         m = _DATE.match(value, i)
         if m:
             out.append((i, m.end(), "date", math.log10(119 * (12 if m.end() - i > 4 else 1) * (31 if m.end() - i > 7 else 1) + 1)))
         for period in (1, 2, 3, 4):
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
+            j = min(n, i + period) + same[period][i]
             if j - i >= 2 * period + (period == 1):
                 out.append((i, j, "repeat", sum(math.log10(_alphabet(c)) for c in value[i : i + period]) + math.log10((j - i) / period)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _neighbours():
-            j += 1
+        j = i + 1 + steps[i]
         if j - i >= 3:
             out.append((i, j, "walk", math.log10(47 * (j - i) * 4)))
     return out
@@ -131,10 +149,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], cost: float = COST) -> list[tuple[int, int, int]]:
-    """Values in a credential context, outside the base spans, whose guess cost reaches ``cost``.
-
-    A long value's cost is summed over blocks of 64 characters, so time stays linear in its length.
-    """
+    """Values in a credential context, outside the base spans, whose guess cost reaches ``cost``."""
     out = []
     spans = sorted((a, b) for a, b, _ in base)
     begins = [a for a, _ in spans]
@@ -146,12 +161,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], cost: float = COST)
         before = bisect.bisect_left(begins, b)
         if len(value) < SHORTEST or before and reach[before - 1] > a:
             continue
-        if not any(c.isdigit() or not c.isalnum() or c.isupper() for c in value[1:]):
-            continue  # a plain word of a sentence
-        total = 0.0
-        for i in range(0, len(value), 64):
-            total += guess_cost(value[i : i + 64])[0]
-        if total >= cost:
+        if guess_cost(value)[0] >= cost:
             out.append((a, b, 3))
     return out
 

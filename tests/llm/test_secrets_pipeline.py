@@ -106,6 +106,20 @@ def test_guesses_in_context():
     assert ss.masked("a token=abcdefghijkl0 b") == "a [SECRET] b" and ss.masked(None) is None and ss.masked("") == ""
 
 
+def test_a_long_repeat_is_judged_as_a_whole():
+    assert ss.digest(ss.scan("pwd=" + "*" * 200)[1]) == "" and ss.guess_cost("*" * 200)[0] < 5
+    assert ss.digest(ss.scan("pwd=" + "ab1!" * 100)[1]) == ""
+    assert ss.guess_cost("*" * 100000)[0] < 8
+
+
+def test_lower_case_values_are_judged_by_their_cost():
+    spans = lambda t: ss.digest(ss.scan(t)[1])
+    assert spans("pwd=qzjxkvbnmwplrtyh") == "guess:4:20" and spans("passphrase: zqwvkxjhtrpm") == "guess:12:24"
+    assert spans("password: xkqzvwjr") == "guess:10:18"
+    for word in ("wonderful", "something", "important", "necessary", "government", "available", "different"):
+        assert spans(f"the secret is {word} today") == "" and spans(f"token: {word}.") == ""
+
+
 def test_secret_edges(spark, docs, clashing):
     assert ss.find(docs()).count() == 0
     long = "pwd=aB3$ " * 20000 + "deadbeefdeadbeef"
