@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.staging import staged
+from tallyloom.sources.staging import scratch, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)``; the label is the smallest node that can be reached.
 
-    Each round replaces a label by its label's label and then by the least label among the neighbours, so the number
-    of rounds grows with the logarithm of the longest path. Rounds are written to the shared folder. Both inputs of
-    every join are stored tables, so that Spark can split the rows of a node with very many edges.
+    Nodes may be of any type that has an order; edges with a null end are none. Each round replaces a label by its
+    label's label and then by the least label among the neighbours, so the number of rounds grows with the logarithm
+    of the longest path. Labels only fall, and the rounds end when the sum of their hashes stays. Rounds are written
+    to the shared folder. Both inputs of every join are stored tables, so that Spark can split the rows of a node with
+    very many edges.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    e = staged(both, "edges")
-    now = staged(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    before = None
-    while True:
-        total = now.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before or total is None:
-            return now
-        before = total
-        up = now.select(F.col("node").alias("label"), F.col("label").alias("__top"))
-        jumped = staged(now.join(up, "label").select("node", F.col("__top").alias("label")), "jumped")
-        told = e.join(jumped.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label")
-        now = staged(jumped.unionByName(told).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    with scratch(edges.sparkSession) as held:
+        e = held(both, "edges")
+        now = held(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+        before = None
+        while True:
+            total = now.agg(F.sum(F.xxhash64("label").cast("decimal(38,0)"))).first()[0]
+            if total == before or total is None:
+                return staged(now, "components")
+            before = total
+            up = now.select(F.col("node").alias("label"), F.col("label").alias("__top"))
+            jumped = held(now.join(up, "label").select("node", F.col("__top").alias("label")), "jumped")
+            told = e.join(jumped.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label")
+            now = held(jumped.unionByName(told).groupBy("node").agg(F.min("label").alias("label")), "labels")
