@@ -1,6 +1,6 @@
 """Near-duplicate detection: one-permutation MinHash, optimal densification, banded buckets and star edges.
 
-Every distinct shingle set becomes a node, named by the smallest doc_id that has it; exact copies end there. A node's
+Every distinct shingle set becomes a node, named by a 128-bit digest of the set; exact copies end there. A node's
 hashes fall into ``BINS`` bins by their high bits and each bin keeps its least hash. An empty bin takes the value of
 the first filled bin in an order of all bins drawn for it, so bins agree with a probability of the Jaccard similarity.
 ``ROWS`` bins make a band and equal bands a bucket. Sets of up to ``SHORT`` shingles take minima of ``BINS``
@@ -30,9 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import staged, struct_of, table, type_of
+from tallyloom.llm.common import struct_of, table, type_of
 from tallyloom.llm.shingles import mix, overlap, shingle_sets
 from tallyloom.operators.graph import components
+from tallyloom.sources.staging import scratch, staged
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
@@ -106,14 +107,13 @@ def _signature(text):
     out = []
     for s in shingle_sets(list(text)):
         if len(s):
-            d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bucket_keys(s).view(np.int64), sketch(s)))
+            out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bucket_keys(s).view(np.int64), sketch(s)))
         else:
-            out.append((0, 0, 0, None, None))
-    return pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sketch"])
+            out.append((0, None, None, None))
+    return pd.DataFrame(out, columns=["n", "node", "bands", "sketch"])
 
 
-@F.pandas_udf(struct_of("n long, k1 long, k2 long, bands long[], sketch long[]"))
+@F.pandas_udf(struct_of("n long, node binary, bands long[], sketch long[]"))
 def signature(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for text in parts:
         yield _signature(text)
@@ -156,73 +156,96 @@ def _near_in_sketch():
 def links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``members(key, node, n, rank)`` that are linked with another.
 
-    A bucket's hub is the member of lowest rank. ``nodes`` has node, n and sketch, ``texts`` node and text.
+    A bucket's hub is the member of lowest rank. ``nodes`` has node, n and sketch, ``texts`` node and text; both have
+    one row a node.
     """
-    hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
-    hub = staged(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
-    met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
-    pairs = staged(met.where(_near_in_size()).select("u", "v").distinct(), "met")
-    pairs = pairs.join(nodes.select(F.col("node").alias("u"), "n", "sketch"), "u")
-    pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
-    pairs = staged(pairs, "pairs")
-    label = components(_confirmed(pairs, texts))
-    checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
-    left = met.select("key", F.col("u").alias("node"), "n", "rank")
-    slots = SLOTS
-    while True:
-        known = staged(left.join(label, "node", "left").select("key", "node", "n", "rank", F.coalesce("label", "node").alias("c")), "known")
-        shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-        torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        left = staged(known.join(staged(torn.where("parts > 1").select("key", "most"), "torn"), "key"), "left")
-        if left.isEmpty():
-            return label
-        drawn = staged(left.join(nodes.select("node", "sketch"), "node"), "drawn")
-        slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots))
-        hub = drawn.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
-        hub = staged(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
-        met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
-        pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti")
-        checked.append(staged(pairs, "pairs"))
-        new = staged(_confirmed(checked[-1], texts), "links")
-        if not new.isEmpty():
-            chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            label = components(chain.unionByName(new))
-        left = staged(left.select("key", "node", "n", "rank").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
-        slots *= 8
+    with scratch(members.sparkSession) as held:
+        hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
+        hub = held(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
+        met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
+        pairs = held(met.where(_near_in_size()).select("u", "v").distinct(), "met")
+        pairs = pairs.join(nodes.select(F.col("node").alias("u"), "n", "sketch"), "u")
+        pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
+        pairs = held(pairs, "pairs")
+        label = components(_confirmed(pairs, texts))
+        checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
+        left = met.select("key", F.col("u").alias("node"), "n", "rank")
+        slots = SLOTS
+        while True:
+            known = held(left.join(label, "node", "left").select("key", "node", "n", "rank", F.coalesce("label", "node").alias("c")), "known")
+            shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+            torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
+            left = held(known.join(held(torn.where("parts > 1").select("key", "most"), "torn"), "key"), "left")
+            if left.isEmpty():
+                return label
+            drawn = held(left.join(nodes.select("node", "sketch"), "node"), "drawn")
+            slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots))
+            hub = drawn.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
+            hub = held(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
+            met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
+            pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+            pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti")
+            checked.append(held(pairs, "pairs"))
+            new = held(_confirmed(checked[-1], texts), "links")
+            if not new.isEmpty():
+                chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+                label = components(chain.unionByName(new))
+            left = held(left.select("key", "node", "n", "rank").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
+            slots *= 8
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """``(doc_id, t, n, node, label, component_id)`` a row of ``docs(doc_id, text)``: ``t`` tells the texts of a repeated
+    id apart, ``node`` and ``label`` name its shingle set and its component, null without shingles or id."""
+    signed = docs.withColumn("s", signature.asNondeterministic()("text")).select("doc_id", F.xxhash64("text").alias("t"), "s.*")
+    signed = staged(signed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signatures")
+    with scratch(docs.sparkSession) as held:
+        # One row of all that have a node's set stands for it, however often ids or rows repeat.
+        first = held(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("f")).select("node", "f.doc_id", "f.t"), "nodes")
+        ours = signed.select("doc_id", "t", "n", "node", "bands", "sketch").join(first, ["node", "doc_id", "t"], "left_semi")
+        ours = held(ours.dropDuplicates(["node"]), "one")
+        rows = ours.select("node", "n", F.explode("bands").alias("key"))
+        full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = held(rows.join(held(full, "buckets"), "key"), "members")
+        # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
+        wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank"))
+        wanted = held(wanted.join(ours.select("node", "n", "sketch", "doc_id", "t"), "node"), "wanted")
+        members = held(members.select("key", "node", "n").join(wanted.select("node", "rank"), "node"), "ranked")
+        texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.select("node", "doc_id", "t"), ["doc_id", "t"])
+        texts = held(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        label = links(members, wanted.select("node", "n", "sketch"), texts)
+        named = held(first.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labels")
+        least = held(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+        named = staged(named.select("node", "label").join(least, "label"), "named")
+    return signed.select("doc_id", "t", "n", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept. Ids may be of any type with an order.
 
     Null texts and texts without words have no shingles and stand alone. A null id takes no part: its component is
-    null and it is kept. Repeated rows share their component. An empty table gives an empty result.
+    null and it is kept. Repeated rows share their component; one of them stands for all in every join. Different
+    texts under one id are judged each by itself. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(docs.withColumn("s", signature.asNondeterministic()("text")).select("doc_id", "s.*"), "signatures")
-    real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    node = staged(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    ours = real.select(F.col("doc_id").alias("node"), "n", "k1", "k2", "bands", "sketch").join(node, ["k1", "k2", "node"], "left_semi")
-    rows = ours.select("node", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(rows.join(staged(full, "buckets"), "key"), "members")
-    # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
-    wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank")).join(ours.select("node", "n", "sketch"), "node")
-    wanted = staged(wanted.dropDuplicates(["node"]), "wanted")
-    members = staged(members.select("key", "node", "n").join(wanted.select("node", "rank"), "node"), "ranked")
-    texts = staged(docs.withColumnRenamed("doc_id", "node").join(wanted.select("node"), "node", "left_semi"), "texts")
-    label = links(members, wanted.select("node", "n", "sketch"), texts)
-    named = staged(node.join(label, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
-    out = signed.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the smallest doc_id; columns unchanged."""
-    gone = find(docs).where("NOT kept").select(F.col("doc_id").alias("__nd_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__nd_id"], "left_anti")
+    """``docs(doc_id, text, ...)`` with one row of each group, one of its smallest doc_id; columns unchanged.
+
+    Rows with a null id, a null text or no words are in no group and all stay. Repeated rows of the smallest id are
+    one; if it has several texts in the group, one of these stays.
+    """
+    named = staged(labelled(docs.select("doc_id", "text")).select("doc_id", "t", "label", "component_id").where("label IS NOT NULL"), "named")
+    best = staged(named.where("doc_id = component_id").groupBy("label").agg(F.min("doc_id").alias("__nd_id"), F.min("t").alias("__nd_t"), F.count(F.lit(1)).alias("__nd_n")), "best")
+    once, often = best.where("__nd_n = 1"), best.where("__nd_n > 1").select("__nd_id", "__nd_t")
+    rows = docs.withColumn("__nd_h", F.xxhash64("text"))
+    here = (F.col("doc_id") == F.col("__nd_id")) & (F.col("__nd_h") == F.col("__nd_t"))
+    grouped = named.select(F.col("doc_id").alias("__nd_id"), F.col("t").alias("__nd_t")).join(once.select("__nd_id", "__nd_t"), ["__nd_id", "__nd_t"], "left_anti").distinct()
+    out = rows.join(grouped, here, "left_anti").unionByName(rows.join(often, here, "left_semi").dropDuplicates(["doc_id", "__nd_h"]))
+    return out.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

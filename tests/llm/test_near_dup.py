@@ -126,4 +126,21 @@ def test_edges(spark, docs, clashing):
     rows = sorted(((x["doc_id"] or 0, x["component_id"], x["kept"]) for x in nd.find(c).collect()), key=str)
     assert rows == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
     kept = nd.keep_one(c)
-    assert kept.columns == c.columns and sorted(x["doc_id"] or 0 for x in kept.collect()) == [0, 1, 1, 3]
+    assert kept.columns == c.columns and sorted(x["doc_id"] or 0 for x in kept.collect()) == [0, 1, 3]
+
+
+def test_rows_repeated_many_times_stand_for_one(spark, docs):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, a)] * 400 + [(9, a + " more")] * 400 + [(8, "x y z")] * 3
+    got = nd.find(docs(*rows))
+    assert got.groupBy("doc_id", "component_id").count().orderBy("doc_id").collect() == [(7, 7, 400), (8, 8, 3), (9, 7, 400)]
+    assert sorted(x["doc_id"] for x in nd.keep_one(docs(*rows)).collect()) == [7, 8]
+
+
+def test_string_ids_and_several_texts_under_one_id(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([("b", a), ("a", a + " more"), ("c", "p q r s t u"), ("a", "p q r s t u"), ("a", "unlike all else here now")], "doc_id string, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in nd.find(d).collect())
+    assert got == [("a", 1, "a"), ("a", 2, "a"), ("a", 57, "a"), ("b", 56, "a"), ("c", 2, "a")]
+    kept = nd.keep_one(d)
+    assert kept.columns == ["doc_id", "text"] and sorted(x["text"][:3] for x in kept.collect()) == ["p q", "unl", "w0 "]
