@@ -4,13 +4,15 @@ A document's ids are cut into pieces of the sequence length, the remainder first
 the others are packed in groups of about ``GROUP`` pieces: a bin is filled greedily with the longest piece that still
 fits, then its smallest piece is replaced by the two unpacked pieces that fit the gap so widened more tightly. The
 pieces of bins left with a gap of over ``LOOSE`` tokens go into one more round over larger groups, so that grouping
-costs few bins. Groups are dealt by a hash, so neither a hot source nor many copies land in one task.
+costs few bins. Groups are dealt by a hash of a stored row number, so neither a hot source nor many copies or repeated
+rows land in one task.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,16 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import id_text, staged, struct_of, table
+from tallyloom.llm.common import staged, struct_of, table
 
 LENGTH = 2048
 GROUP = 2500
 LOOSE = 4
 SEPARATOR = 0
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def vocabulary() -> str:
-    """The public vocabulary's ranks file: the ids are those of ``byte_bpe_50k.json`` under the tokenizers library."""
+    """The public vocabulary's ranks file: the ids are those of ``TOKENIZER`` under the tokenizers library."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,13 +40,15 @@ def vocabulary() -> str:
 
 @functools.lru_cache(2)
 def encoder(path: str):
-    """Byte-level BPE over ``path``; strings of special tokens are ordinary text."""
+    """Byte-level BPE over ``path``; the added tokens of ``TOKENIZER`` are found in texts as the tokenizers library does."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces_of(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -63,7 +68,7 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
         for text in parts:
             out = []
             for t in text:
-                ids = np.append(enc.encode_to_numpy(t or "", disallowed_special=()), SEPARATOR).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(t or "", allowed_special="all"), SEPARATOR).astype("<u4")
                 out.append([(k, a, n, zlib.crc32(ids[a : a + n])) for k, (a, n) in enumerate(pieces_of(len(ids), length))])
             yield pd.Series(out)
 
@@ -127,12 +132,12 @@ def _tighter_pair(left: np.ndarray, fits: np.ndarray, room: int, smallest: int)
     return (int(a[k]), int(b[k])) if total[k] > smallest else None
 
 
-_COLUMNS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+_COLUMNS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, r bigint, sequence_id bigint, offset bigint"
 
 
 def _pack(part: pd.DataFrame, level: int, length: int) -> pd.DataFrame:
     """Pack one group; sequence ids carry the level and the group."""
-    part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+    part = part.sort_values(["length", "doc_id", "piece", "ids_crc32", "r"], kind="stable", ignore_index=True)
     sizes = part["length"].to_numpy(np.int64)
     seq, off = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
     head = (int(part["g"].iloc[0]) << 24) + (level << 62)
@@ -145,7 +150,7 @@ def _pack(part: pd.DataFrame, level: int, length: int) -> pd.DataFrame:
 def _packed(pieces: DataFrame, level: int, length: int, group: int) -> DataFrame:
     n = pieces.count()
     groups = max(1, round(n / group))
-    key = F.pmod(F.xxhash64(id_text(), "piece", "ids_crc32", F.lit(level)), F.lit(groups))
+    key = F.pmod(F.xxhash64("r", F.lit(level)), F.lit(groups))
     return pieces.withColumn("g", key).groupBy("g").applyInPandas(lambda x: _pack(x, level, length), _COLUMNS)
 
 
@@ -155,13 +160,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group:
     Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each by itself;
     a null id is packed like any other. An empty table gives an empty result.
     """
-    pieces = staged(tokenised(docs, path, length), "pieces")
+    pieces = staged(tokenised(docs, path, length).withColumn("r", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     first = staged(_packed(pieces.where(F.col("length") < length), 0, length, group), "packed")
     loose = first.groupBy("sequence_id").agg(F.sum("length").alias("full")).where(F.col("full") < length - LOOSE).select("sequence_id")
     loose = staged(loose, "loose")
     again = _packed(first.join(loose, "sequence_id", "left_semi").select(pieces.columns), 1, length, group)
-    return whole.unionByName(first.join(loose, "sequence_id", "left_anti")).unionByName(again)
+    return whole.unionByName(first.join(loose, "sequence_id", "left_anti")).unionByName(again).drop("r")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,11 +15,10 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-TEXTS = [None, "", "hello world", "naïve ünïcödé 日本語 🙂\n\n  tabs\tand <|endoftext|> here", "x" * 5000, "word " * 6000, "don't we'll I'm", " \n ", "a b c", "tail  "]
+TEXTS = [None, "", "hello world", "naïve ünïcödé 日本語 🙂\n\n  tabs\tand <|endoftext|> here", "x" * 5000, "word " * 6000, "<|endoftext|> hi", "a<|endoftext|><|endoftext|>b <|endoftext", " <|endoftext|> ", "don't we'll I'm", " \n ", "a b c", "tail  "]
 
 
 def test_pieces_hold_the_tokenizers_ids(spark, docs):
@@ -52,6 +51,11 @@ def test_sequences_are_gapless_and_full(spark, docs):
     assert len(by) <= 1.04 * total / 2048 + 2
 
 
+def test_repeated_rows_spread_over_groups(spark, docs):
+    rows = packing.pack(spark.range(4000).selectExpr("5L doc_id", "'ab cd ef' text"), group=500).collect()
+    assert len(rows) == 4000 and len({x["sequence_id"] >> 24 for x in rows}) > 4
+
+
 def test_best_two_fit_swaps_the_smallest():
     # Greedy takes 6 then 3 of 10; 2 and 2 fit the gap of 4 that 3 leaves exactly.
     assert sorted(map(sorted, ([[6, 2, 2], [3]]))) == sorted(sorted(np.array([6, 3, 2, 2])[b].tolist()) for b in packing.best_two_fit(np.array([6, 3, 2, 2]), 10))
