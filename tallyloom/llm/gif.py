@@ -26,6 +26,8 @@ WIDTH = 192
 ROWS = 4096
 DELAY = 10
 _FULL = 4096
+#: Samples that the frames of one file may have when composed, four bytes each.
+MAX_SAMPLES = 1 << 27
 
 
 @functools.lru_cache(16)
@@ -168,19 +170,23 @@ def _u16(n: int) -> bytes:
 
 
 @functools.lru_cache(1)
-def _grey() -> bytes:
-    return bytes(x for i in range(256) for x in (i, i, i))
+def spread_palette() -> bytes:
+    """256 different colours: the upper three bits of a sample are its red, the next three green, the last two blue."""
+    return bytes(x for i in range(256) for x in (i & 0xE0, i << 3 & 0xE0, i << 6 & 0xC0))
 
 
 def encode_samples(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY) -> bytes:
-    """A GIF whose frames' palette indices, in order, are ``samples``; their number is a positive multiple of width."""
+    """A GIF whose frames' palette indices, in order, are ``samples``; their number is a positive multiple of width.
+
+    Each frame is cleared after its time, so that the next one shows its own samples only.
+    """
     if not samples or len(samples) % width:
         raise ValueError("samples must fill whole rows")
     height = min(rows, len(samples) // width)
-    out = [b"GIF89a", _u16(width), _u16(height), b"\xf7\0\0", _grey()]
+    out = [b"GIF89a", _u16(width), _u16(height), b"\xf7\0\0", spread_palette()]
     for a in range(0, len(samples), width * rows):
         part = samples[a : a + width * rows]
-        out += [b"\x21\xf9\x04\x04", _u16(delay), b"\0\0", b"\x2c\0\0\0\0", _u16(width), _u16(len(part) // width), b"\0\x08", _blocks(lzw_encode(part))]
+        out += [b"\x21\xf9\x04\x08", _u16(delay), b"\0\0", b"\x2c\0\0\0\0", _u16(width), _u16(len(part) // width), b"\0\x08", _blocks(lzw_encode(part))]
     return b"".join(out) + b"\x3b"
 
 
@@ -222,9 +228,18 @@ def _deinterlaced(indices: bytes, width: int, height: int) -> bytes:
     return out.tobytes()
 
 
-def decode(data: bytes, compose: bool = True) -> list[Frame]:
+def _check_area(area: int, stored: int, limit: int) -> None:
+    """A code has three bits at least and stands for no more samples than the table is long: larger areas are no image."""
+    if area > limit or area > _FULL * (stored * 8 // 3 + 1):
+        raise ValueError("the file declares more samples than it can hold")
+
+
+def decode(data: bytes, compose: bool = True, limit: int = MAX_SAMPLES) -> list[Frame]:
     """Frames of a GIF in order; what is no GIF raises ValueError, a cut file gives the frames it has.
 
+    A canvas or a frame that is larger than the stored bytes can fill, and more than ``limit`` samples over all
+    composed frames, raise ValueError before memory is taken.
+
     Disposal 2 clears a frame's area to transparent before the next one, disposal 3 restores what was there before;
     transparent indices leave the canvas as it is. A frame without any palette is drawn in greys.
     """
@@ -232,6 +247,7 @@ def decode(data: bytes, compose: bool = True) -> list[Frame]:
         raise ValueError("not a GIF")
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
     at, shared = 13, None
+    _check_area(wide * high, len(data), limit)
     if flags & 128:
         shared, at = _palette(data, at, flags)
     canvas = np.zeros((high, wide, 4), np.uint8) if compose else None
@@ -256,6 +272,9 @@ def decode(data: bytes, compose: bool = True) -> list[Frame]:
                 palette, at = _palette(data, at, local)
             bits = data[at] if at < len(data) else 8
             stream, at = _sub_blocks(data, at + 1)
+            _check_area(w * h, len(stream), limit)
+            if compose and (len(frames) + 1) * wide * high > limit:
+                raise ValueError("the composed frames are too large")
             indices = lzw_decode(stream, bits, w * h) if 1 <= bits <= 8 else bytes(w * h)
             if local & 64:
                 indices = _deinterlaced(indices, w, h)
@@ -301,7 +320,8 @@ FRAME = struct_of("frame int, start_cs long, delay_cs int, width int, height int
 def frames(df: DataFrame, data_col: str = "data", out: str = "frames") -> DataFrame:
     """``df`` with an array of timed frames: composed RGBA pixels and their colour histogram.
 
-    Null data and data that are no GIF give null; a GIF without frames gives an empty array.
+    Null data, data that are no GIF and files that declare more than they can hold or than ``MAX_SAMPLES`` give null;
+    a GIF without frames gives an empty array. An existing column named ``out`` is replaced.
     """
 
     @F.pandas_udf(T.ArrayType(FRAME))
@@ -311,7 +331,7 @@ def frames(df: DataFrame, data_col: str = "data", out: str = "frames") -> DataFr
             for d in data:
                 try:
                     got = decode(bytes(d)) if d is not None else None
-                except ValueError:
+                except (ValueError, MemoryError):
                     got = None
                 rows.append(None if got is None else [(k, f.start_cs, f.delay_cs, f.pixels.shape[1], f.pixels.shape[0], histogram(f.pixels).tolist(), f.pixels.tobytes()) for k, f in enumerate(got)])
             yield pd.Series(rows, dtype=object)
@@ -328,10 +348,10 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def stored_row(text: str | None) -> tuple:
     n, payload = payload_of(text)
     media = encode_samples(payload)
-    got = decode(media, compose=False)
+    got = decode(media)
     back = b"".join(f.indices for f in got)
-    greys = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16)
-    feature = f"frames={len(got)};duration_cs={sum(f.delay_cs for f in got)};histogram=" + ",".join(map(str, greys.tolist()))
+    colours = sum(histogram(f.pixels) for f in got)
+    feature = f"frames={len(got)};duration_cs={sum(f.delay_cs for f in got)};colours=" + ",".join(map(str, colours.tolist()))
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

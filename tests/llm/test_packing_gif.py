@@ -144,3 +144,28 @@ def test_frames_column(spark):
     data = [(1, bytearray(build([(0, 0, 4, 2, [1] * 8, 1, None, 5, False)]))), (2, None), (3, bytearray(b"no gif"))]
     out = {x["id"]: x["frames"] for x in gif.frames(spark.createDataFrame(data, "id int, data binary")).collect()}
     assert out[2] is None and out[3] is None and out[1][0]["colour_histogram"][48] == 8 and len(out[1][0]["pixels"]) == 32
+
+
+def test_query_feature_counts_colours_of_composed_frames(spark, docs):
+    text = "AbC\u00fc \u65e5 " * 9000
+    n, payload = gif.payload_of(text)
+    row = gif.stored_row(text)
+    want = [0] * 64
+    for b in payload:  # two bits a channel of the palette 3-3-2
+        want[(b >> 6) * 16 + (b >> 3 & 3) * 4 + (b & 3)] += 1
+    assert row[:5] == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif.encode_samples(payload)))
+    assert row[6] == f"frames={-(-len(payload) // (192 * 4096))};duration_cs={10 * -(-len(payload) // (192 * 4096))};colours=" + ",".join(map(str, want))
+    two = gif.stored_row("x" * (192 * 4096 + 5))
+    assert two[6].startswith("frames=2;duration_cs=20;") and sum(map(int, two[6].split("colours=")[1].split(","))) == two[1]
+
+
+def test_files_that_declare_too_much_are_null(spark):
+    huge = b"GIF89a" + (60000).to_bytes(2, "little") * 2 + b"\0\0\0" + b"\x2c\0\0\0\0" + (60000).to_bytes(2, "little") * 2 + b"\0\x02\x02\x4c\x01\0\x3b"
+    with pytest.raises(ValueError):
+        gif.decode(huge)
+    good = gif.encode_samples(bytes(range(192)))
+    with pytest.raises(ValueError):
+        gif.decode(good, limit=100)
+    df = spark.createDataFrame([(1, huge), (2, good), (3, None)], "id int, data binary")
+    got = {x["id"]: x["frames"] for x in gif.frames(df).collect()}
+    assert got[1] is None and got[3] is None and got[2][0]["width"] == 192
