@@ -13,6 +13,7 @@ import functools
 import html as _html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +24,17 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import struct_of, table
 
-#: Tags that end a block, tags without content, tags whose content is not text.
+#: Tags that end a block, and tags whose content is raw and no text of the page (textarea is a form's).
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noscript object ol option p pre section select summary table tbody td tfoot th "
+    "thead tr ul video".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math iframe object noscript head title textarea canvas audio video".split())
+RAW = frozenset("script style template textarea title".split())
 #: Tags that an opening tag of the same group ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*)>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)>)""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CUES = {
@@ -45,22 +47,61 @@ _CUES = {
 
 @dataclass
 class Block:
-    """``path`` has the ancestors' tags, outermost first; ``marks`` the words of their classes, ids and roles."""
+    """``under`` has the ancestors' tags and ``inner`` the nearest one; ``marks`` words of their classes, ids, roles."""
 
     text: str
-    path: tuple[str, ...]
+    under: frozenset[str]
+    inner: str
     marks: frozenset[str]
     linked: float
-    heading: bool = False
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, with character references decoded and white space made single."""
+class _Tags:
+    """Where the tags of a page end. A quote counts only as the start of an attribute's value; one that is never
+    closed is an ordinary character, and so are all once a tag has been found open at the end of the page. So each
+    character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.plain = page, set(), False
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 if there is none."""
+        i = at
+        while not self.plain and (m := _STOP.search(self.page, i)):
+            i = m.start()
+            c = self.page[i]
+            if c == ">":
+                return i
+            if c not in self.lost and self._after_equals(at, i):
+                close = self.page.find(c, i + 1)
+                if close < 0:
+                    self.lost.add(c)
+                else:
+                    i = close
+            i += 1
+        self.plain = True
+        return self.page.find(">", at)
+
+    def _after_equals(self, at: int, i: int) -> bool:
+        i -= 1
+        while i > at and self.page[i].isspace():
+            i -= 1
+        return self.page[i] == "="
+
+
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, with character references decoded and white space made single.
+
+    ``known`` bounds the marks that are kept to those that a model has weights for. Time is linear in the page.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    none: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     in_link, size_linked, link_depth = False, 0, 0
+    tags, endless = _Tags(page), set()
 
     def flush() -> None:
         nonlocal size_linked
@@ -68,57 +109,79 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                tags = tuple(t for t, _ in stack)
-                marks = frozenset().union(*(m for _, m in stack)) if stack else frozenset()
-                out.append(Block(text, tags, marks, min(1.0, size_linked / len(text))))
+                inner, under, marks = stack[-1] if stack else ("", none, none)
+                out.append(Block(text, under, inner, marks, min(1.0, size_linked / len(text))))
         size_linked = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        piece = page[at : m.start() if m else n]
+    def put(piece: str) -> None:
+        nonlocal size_linked
         if piece:
             parts.append(piece)
-            if in_link:
-                size_linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        name = m["name"]
-        if name is None:
+            size_linked += len(piece) if in_link else 0
+
+    at = seek = 0
+    while (start := page.find("<", seek)) >= 0:
+        m = _NAME.match(page, start + 1)
+        if m is None and page[start + 1 : start + 2] not in ("!", "?"):
+            seek = start + 1
+            continue
+        put(page[at:start])
+        if m is None:
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->" if comment else ">", start + 2)
+            if stop < 0 and not comment:
+                at = start
+                break
+            at = seek = len(page) if stop < 0 else stop + (3 if comment else 1)
             continue
-        name = name.lower()
-        if m["end"]:
+        stop = tags.end(m.end())
+        if stop < 0:  # no tag ends from here on: the rest is text
+            at = start
+            break
+        attrs, name, at = page[m.end() : stop], m[0].lower(), stop + 1
+        seek = at
+        if name[0] == "/":
+            name = name[1:]
             if name == "a":
                 in_link = False
             elif name in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    while True:
+                        tag = stack.pop()[0]
+                        opened[tag] -= 1
+                        if tag == name:
+                            break
                 if len(stack) < link_depth:
                     in_link = False
             continue
-        if name in RAW and not m["attrs"].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        empty = attrs.rstrip().endswith("/")
+        if name in RAW and not empty and name not in endless:
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             if end:
-                at = end.end()
-            elif name in ("script", "style", "textarea", "title"):
-                at = n
-            continue
-        if name == "a":
+                stop = page.find(">", end.end())
+                at = seek = stop + 1 if stop >= 0 else len(page)
+            elif name == "template":
+                endless.add(name)
+            else:
+                at = seek = len(page)
+        elif name == "a":
             in_link, link_depth = True, len(stack)
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK:
             flush()
-            if name == "hr" or m["attrs"].rstrip().endswith("/"):
+            if name == "hr" or empty:
                 continue
             while stack and (stack[-1][0] in CLOSES.get(name, ()) or stack[-1][0] == "p" and name != "button"):
-                stack.pop()
-            marks = frozenset(w for a in _ATTR.finditer(m["attrs"]) for w in _SPLIT.split(a[2].lower()) if len(w) > 1) if m["attrs"] else frozenset()
-            stack.append((name, marks))
+                opened[stack.pop()[0]] -= 1
+            _, under, marks = stack[-1] if stack else ("", none, none)
+            if attrs:
+                new = {w for a in _ATTR.finditer(attrs) for w in _SPLIT.split(a[2].lower()) if len(w) > 1 and w not in marks and (known is None or w in known)}
+                marks = marks | new if new else marks
+            stack.append((name, under if name in under else under | {name}, marks))
+            opened[name] += 1
+    put(page[at:])
     flush()
     return out
 
@@ -130,15 +193,15 @@ def block_features(bs: list[Block]) -> list[list[str]]:
     for k, b in enumerate(bs):
         words = b.text.split()
         f = ["bias"]
-        f += [f"under:{t}" for t in set(b.path)] + [f"mark:{w}" for w in b.marks]
-        f.append(f"in:{b.path[-1] if b.path else ''}")
+        f += [f"under:{t}" for t in b.under] + [f"mark:{w}" for w in b.marks]
+        f.append(f"in:{b.inner}")
         f.append(f"words:{np.searchsorted((2, 4, 8, 15, 30, 60), len(words), side='right')}")
         f.append(f"linked:{np.searchsorted((0.01, 0.2, 0.5, 0.9), b.linked, side='right')}")
         f.append("stop:" + str(b.text[-1] in ".!?…。"))
         f.append("commas:" + str(min(2, b.text.count(","))))
         f.append(f"place:{4 * k // n}")
         f += [f"cue:{c}" for c, p in _CUES.items() if len(words) < 40 and p.search(b.text)]
-        if not {"article", "main"} & set(b.path):
+        if not {"article", "main"} & b.under:
             f.append(f"loose:{len(words) > 15}")
         out.append(f)
     return out
@@ -270,6 +333,10 @@ class Crf:
     step: np.ndarray
     ends: np.ndarray
 
+    @functools.cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(f[5:] for f in self.weights if f.startswith("mark:"))
+
     def scores(self, bs: list[Block]) -> np.ndarray:
         get, none = self.weights.get, np.zeros(2)
         return np.array([sum((get(f, none) for f in fs), none) for fs in block_features(bs)]).reshape(len(bs), 2)
@@ -349,7 +416,7 @@ def trained(pages: int = 500) -> Crf:
 
 def main_text(page: str | None, model: Crf) -> str:
     """Main blocks of a page, joined by a space; empty for null and empty pages and for pages without main text."""
-    bs = blocks(page)
+    bs = blocks(page, model.known)
     return " ".join(b.text for b, y in zip(bs, model.decode(bs)) if y)
 
 
@@ -357,7 +424,7 @@ def extract(pages: DataFrame, model: Crf | None = None, html_col: str = "html",
     """``pages`` with a struct of the main text and its length in code points.
 
     Null html is empty. Unclosed tags, stray ends and cut pages are read as far as they go. Rows are read one by one:
-    repeated rows repeat their text, an empty table gives an empty result.
+    repeated rows repeat their text, an empty table gives an empty result. A column named ``out`` is replaced.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
 
