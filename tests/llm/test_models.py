@@ -143,10 +143,53 @@ def test_toxicity_chain(spark, docs, clashing):
     assert tx.reject(docs((1, "idiot")), tx.train(docs(), spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 1
 
 
-def test_chain_uses_out_of_fold_probabilities():
-    hits = [[k % 5] for k in range(50)]
-    y = np.array([float(k % 5 == 0) for k in range(50)])
-    name = ["aaa", "bbb", "ccc", "ddd", "eee"]
-    chain = tx.fit_chain([name[k % 5] + " idiot" * (k % 5 == 0) for k in range(50)], y, {n: k for k, n in enumerate(name)}, np.ones(50))
-    p = chain.predict(hits)
-    assert p.shape == (50, 3) and ((p[:, 2] > 0.5) == (y == 1)).all()
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    m = ht.trained()
+    for part in ('<a "', "<div>x", "<svg>", "</p><div>x", "<p title='", '<b c=">" ', "<!", "<template>", "<div class=content>x", '<a b="c', "&amp;<"):
+        start = time.perf_counter()
+        ht.main_text(part * (300_000 // len(part)), m)
+        assert time.perf_counter() - start < 15, part
+
+
+def test_html_keeps_fallbacks_and_formulas():
+    m = ht.trained()
+    page = "<article><h1>A title of it</h1><p>The value <math>x + y</math> is here, as said before.</p><noscript>A picture of the river, as it was.</noscript><object>A drawing of the bridge, as it was.</object><svg><text>Map</text></svg><p title=it's>Don't drop this, please.</p><p data-x='a>b'>Nor this one, of course.</p></article>"
+    assert ht.main_text(page, m) == "A title of it The value x + y is here, as said before. A picture of the river, as it was. A drawing of the bridge, as it was. Map Don't drop this, please. Nor this one, of course."
+    assert ht.blocks("<article><p>Open to the end, of <a href='x")[0].text == "Open to the end, of <a href='x"
+
+
+def test_out_of_fold_probabilities_have_not_seen_their_labels():
+    r = np.random.default_rng(5)
+    y = r.integers(0, 2, 200).astype(float)
+    hits = [[k] for k in range(200)]  # a text's only entry tells its label to whoever has seen it
+    fold = np.arange(200) % tx.FOLDS
+    got = tx.out_of_fold([hits] * tx.FOLDS, np.zeros((200, 0)), y, np.ones(200), fold, 200)
+    w, b = tx._fit(hits, np.zeros((200, 0)), y, np.ones(200), 200)
+    seen = tx._probability(hits, np.zeros((200, 0)), w, b, 200)
+    assert ((seen > 0.5) == (y == 1)).all()
+    assert all(np.ptp(got[fold == f]) < 1e-9 for f in range(tx.FOLDS))
+
+
+def test_toxicity_kinds_part_the_toxic_texts():
+    hits = [[0, 1], [0, 1, 2], [1, 2], [5, 6], [5, 6, 7], [6, 7], [3]]
+    a, b = tx.kinds(hits, np.array([1.0] * 6 + [0.0]), 8)
+    assert sorted((a.tolist(), b.tolist())) == [[0.0] * 3 + [1.0] * 3 + [0.0], [1.0] * 3 + [0.0] * 4]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test data")
+def test_toxicity_held_out_and_by_hand(spark):
+    big = SF.replace("0.01", "0.1")  # sf0.01 has too few toxic rows to learn from
+    d, l = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{big}/labels.parquet")
+    m = tx.train(d, l.where(fold(3) != 0))
+    got = tx.score(d.join(l, "doc_id"), m).withColumn("held", fold(3) == 0).collect()
+    held = [(x["toxic"], x["toxicity"]["toxic"] >= 0.5) for x in got if x["held"]]
+    assert np.mean([p for t, p in held if t == 1]) > 0.9 and np.mean([p for t, p in held if t == 0]) < 0.03
+    for x in got[:60]:  # the chain by hand
+        have = [m.number[e] for e in tx.entries(x["text"]) if e in m.number]
+        ps = []
+        for w, b in zip(m.weights, m.bias):
+            z = b + sum(w[k] for k in have) + math.log1p(len(have)) * w[len(m.number)] + sum(p * q for p, q in zip(ps, w[len(m.number) + 1 :]))
+            ps.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert all(math.isclose(p, x["toxicity"][c], abs_tol=1e-9) for p, c in zip(ps, tx.CHAIN))
