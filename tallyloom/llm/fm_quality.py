@@ -146,12 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: object, sample: int = SAMPL
     """A machine for ``labels.quality`` from the rows whose id meets the condition ``learn``.
 
     At most ``sample`` labels of each class are read, in hash order; each class weighs what it has among all labels.
-    Rows with a null id or label are left out. Texts are joined to the chosen ids, a table of bounded size.
+    Rows with a null id or label are left out; of an id's repeated rows the least text and label counts, once. Texts
+    are joined to the chosen ids, a table of bounded size.
     """
     known = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(learn)
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = hash_sample(known.where("quality = 0"), "doc_id", sample).unionByName(hash_sample(known.where("quality = 1"), "doc_id", sample))
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").withColumn("i", _indices.asNondeterministic()("text", F.col("n_chars").cast("double"))).select("doc_id", "quality", "i").toPandas()
+    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("d")).select("doc_id", "quality", "d.*")
+    rows = rows.withColumn("i", _indices.asNondeterministic()("text", F.col("n_chars").cast("double"))).select("doc_id", "quality", "i").toPandas()
     rows = rows.assign(n=rows["i"].map(len)).sort_values(["doc_id", "quality", "n"], kind="stable")
     y = rows["quality"].to_numpy(float)
     got = Counter(y.tolist())
