@@ -22,8 +22,8 @@ from tallyloom.llm.common import fold, struct_of, table
 BUCKETS = 1 << 15
 ORDERS = 4
 SWITCH = 12.0
-#: Documents per language that the model is fitted on, and languages at most: together they bound the sample.
-SAMPLE, LANGUAGES = 1000, 256
+#: Documents per language that the model is fitted on, and the languages that training accepts: both bound the model.
+SAMPLE, LANGUAGES = 1000, 2048
 #: A script belongs to a language if it has at least this share of its letters.
 SCRIPT_SHARE = 0.001
 #: First code point of each range, and its script.
@@ -176,15 +176,17 @@ def _counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["grams", "scripts"])
 
 
-def train(docs: DataFrame, learn: object, sample: int = SAMPLE) -> Languages:
+def train(docs: DataFrame, learn: object, sample: int = SAMPLE, languages: int = LANGUAGES) -> Languages:
     """A model from text and non-null lang of the rows that meet the condition ``learn``.
 
-    About ``sample`` documents per language, those with the lowest hashes of the id, and LANGUAGES languages, the most
-    frequent ones. Their counts are added up per language and bucket on the executors; only this table of bounded size
-    comes back.
+    About ``sample`` documents per language, those with the lowest hashes of the id. Their counts are added up per
+    language and bucket on the executors; only this table comes back. Every value of lang is learned; more than
+    ``languages`` of them raise ValueError, as none is dropped in silence.
     """
     known = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(languages + 1).collect()}
+    if len(found) > languages:
+        raise ValueError(f"lang has more than {languages} values; pass a larger bound")
     names = sorted(found)
     log_p = np.zeros((BUCKETS, len(names)), np.float32)
     allowed = np.ones((len(_NAMES), len(names)), bool)
