@@ -90,14 +90,15 @@ def mix(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     Null texts have size 0 and, like all rows, follow their source's rate. Repeated rows draw alike. An empty table
     gives an empty one. Sizes and draws are computed before texts are repeated.
     """
-    plan = source_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seeds)
+    plan = source_plan(staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes"), seeds)
     taken = copies(docs, plan, seeds, "__mx_taken")
     return taken.withColumn("__mx_i", F.explode(F.array_repeat(F.lit(0), F.col("__mx_taken.n").cast("int")))).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the words each of all documents gives to the mix."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Words are counted once: the plan and the result read the stored sizes.
+    docs = staged(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     out = copies(docs, source_plan(docs))
     return out.select("doc_id", "source", "size", "copies.source_size", "copies.target", (F.col("size") * F.col("copies.n")).alias("taken"))
 

@@ -193,3 +193,18 @@ def test_toxicity_held_out_and_by_hand(spark):
             z = b + sum(w[k] for k in have) + math.log1p(len(have)) * w[len(m.number)] + sum(p * q for p, q in zip(ps, w[len(m.number) + 1 :]))
             ps.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
         assert all(math.isclose(p, x["toxicity"][c], abs_tol=1e-9) for p, c in zip(ps, tx.CHAIN))
+
+
+def test_more_languages_than_the_bound_are_an_error(docs):
+    d = docs(*[(i, f"w{i} text", f"l{i}", "s") for i in range(4)])
+    assert lid.train(d, F.lit(True)).names == ["l0", "l1", "l2", "l3"]
+    with pytest.raises(ValueError):
+        lid.train(d, F.lit(True), languages=3)
+
+
+def test_repeated_rows_are_learned_from_once(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    d = docs(*[(1, "good text here")] * 50, *[(2, "bad text here")] * 50)
+    one = docs((1, "good text here"), (2, "bad text here"))
+    a, b = fm.train(d, labels, F.lit(True)), fm.train(one, labels, F.lit(True))
+    assert a.score("good text", 9) == pytest.approx(b.score("good text", 9), abs=0.05)
