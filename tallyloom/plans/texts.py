@@ -1,94 +1,18 @@
-"""Text functions, multiple-choice questions, options, votes and variants."""
+"""Text functions, votes, rotations and conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import lexicon, options as op, text as tx
+from tallyloom.functions import options as op, text as tx
 from tallyloom.functions.rng import letter, u32
 from tallyloom.operators import scoring
 from tallyloom.plans.registry import EV, L, U, events, query, r6
 from tallyloom.sources.readers import table
 
-#: Questions that cover parse errors, ties, directions, compass, numbers and orders: (id, question, gold).
-MCQ = [
-    (1, "Where is the chair? Options: A: red chair, B: blue table, C: lamp, D: green sofa", "A"),
-    (2, "Which way do I turn? Options: A: Left, B: Sometimes, C: Cannot be determined, D: Right", "D"),
-    (3, "Where is the door? Options: A: North, B: South, C: East, D: a chair", "B"),
-    (4, "How many cups are in the second image? Options: A: 1, B: 2, C: 3, D: 4", "C"),
-    (5, "In what order were the images taken? Options: A: 1, 2, 3, B: 3, 2, 1, C: 2, 1, 3, D: 1, 3, 2", "A"),
-    (6, "How far is the wall? Options: A: 2 m, B: 3.5 m, C: 10 cm, D: about 4 meters", "B"),
-    (7, "By what angle did the camera turn? Options: A: 30 degrees, B: 45 degrees, C: 60 degrees, D: 90 degrees", "D"),
-    (8, "Is there a list here at all?", "A"),
-    (9, "A broken list? Options: A: yes, B: no", "A"),
-    (10, "Empty text? Options: A: one, B: , C: three, D: four", "C"),
-    (11, "What is true? Options: A: the cat sat on the mat, B: the dog is on the left, C: both are true, D: none of the above", "C"),
-    (12, "If I face the wall, is the lamp left of me? Options: A: Front left, B: front right, C: back left, D: Back right", "A"),
-]
-_VALUES = ", ".join(f"({i}, '{q}', '{g}')" for i, q, g in MCQ)
-_Q = f"q(id, question, gold) AS (VALUES {_VALUES})"
-#: Without look-behind: a label is preceded by the start or one of a few characters.
-_P = (
-    _Q
-    + r""", p AS (SELECT id, gold, trim(regexp_split_to_array(question, '\s*Options:\s*')[1]) AS stem, regexp_split_to_array(question, '\s*Options:\s*')[2] AS body FROM q),
-m AS (SELECT id, gold, stem, array_to_string(regexp_extract_all(body, '(?:^|[\s,.;])([A-D])\s*[:：]\s*', 1), '') AS labels,
-  list_transform(list_filter(regexp_split_to_array(regexp_replace(' ' || body, '[\s,.;]([A-D])\s*[:：]\s*', '§', 'g'), '§')[2:], lambda x: true), lambda x: rtrim(regexp_replace(trim(x), '[,;.]+$', ''))) AS opts FROM p),
-g AS (SELECT *, labels = 'ABCD' AND len(list_filter(opts, lambda x: x = '')) = 0 AS good FROM m)"""
-)
-
-
-def mcq(spark, sf=None):
-    return spark.createDataFrame(MCQ, "id int, question string, gold string").select("id", "gold", tx.stem(F.col("question")).alias("stem"), tx.strict_options(F.col("question")).alias("opts"), "question")
-
-
-@query(f"WITH {_P} SELECT id, stem, CASE WHEN good THEN opts[1] END AS opt_a, CASE WHEN good THEN opts[2] END AS opt_b, CASE WHEN good THEN opts[3] END AS opt_c, CASE WHEN good THEN opts[4] END AS opt_d FROM g")
-def mcq_parse_strict(spark, sf):
-    return mcq(spark).select("id", "stem", *[F.get("opts", F.lit(i)).alias(f"opt_{c}") for i, c in enumerate("abcd")])
-
-
-@query(f"WITH {_P} SELECT id, CASE WHEN labels IN ('AB', 'ABC', 'ABCD') THEN len(opts) END AS n_options FROM g")
-def mcq_parse_lenient(spark, sf):
-    return mcq(spark).select("id", F.size(tx.lenient_options(F.col("question"))).cast("long").alias("n")).select("id", F.when(F.col("n") > 0, F.col("n")).alias("n_options"))
-
-
-_FAM = (
-    "CASE WHEN regexp_matches(o, '(?i)\\bsometimes\\b') THEN 'sometimes' WHEN regexp_matches(o, '(?i)cannot be determined|none of the above') THEN 'abstain' "
-    "WHEN regexp_matches(o, '(?i)^\\s*(about\\s+)?\\d+(\\.\\d+)?\\s*(m|cm|meters?|centimeters?)?\\s*$') THEN 'number' WHEN regexp_matches(o, '\\d\\s*(,|->|>)\\s*\\d') THEN 'order' "
-    "WHEN regexp_matches(o, '(?i)\\b(north|south|east|west)\\b') THEN 'compass' WHEN regexp_matches(o, '(?i)\\d+\\s*degrees?') THEN 'angle' "
-    "WHEN regexp_matches(o, '(?i)\\b(left|right|front|back)\\b') THEN 'ego' WHEN len(regexp_extract_all(lower(o), '[a-z0-9]+(?:''[a-z]+)?')) >= 5 THEN 'statement' ELSE 'entity' END"
-)
-
-
-@query(f"WITH {_P} SELECT id, letter, {_FAM} AS family FROM (SELECT id, unnest(['A','B','C','D']) AS letter, unnest(opts) AS o FROM g WHERE good)")
-def option_family(spark, sf):
-    o = mcq(spark).where("opts IS NOT NULL").select("id", F.posexplode("opts").alias("i", "o"))
-    return o.select("id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("letter"), tx.option_family(F.col("o")).alias("family"))
-
-
 _T = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:''[a-z]+)?')"
 
 
-@query(f"WITH {_P} SELECT id, letter, round(CASE WHEN len(o) = m THEN 1.0 / k ELSE 0 END, 6) AS longest FROM (SELECT id, letter, o, max(len(o)) OVER (PARTITION BY id) AS m, count(*) OVER (PARTITION BY id, len(o)) AS k FROM (SELECT id, unnest(['A','B','C','D']) AS letter, {_T('unnest(opts)')} AS o FROM g WHERE good))")
-def heuristic_policies(spark, sf):
-    o = mcq(spark).where("opts IS NOT NULL").select("id", F.posexplode(op.extremum_policy(op.lengths(F.col("opts")))).alias("i", "p"))
-    return o.select("id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("letter"), r6("p").alias("longest"))
-
-
-@query(f"WITH {_P}, f AS (SELECT id, letter, {_FAM} IN ('sometimes', 'abstain') AS gone FROM (SELECT id, unnest(['A','B','C','D']) AS letter, unnest(opts) AS o FROM g WHERE good)) SELECT id, letter, round(CASE WHEN s = 0 THEN 0.25 WHEN gone THEN 0 ELSE 1.0 / s END, 6) AS chance FROM (SELECT *, count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY id) AS s FROM f)")
-def elimination_policy(spark, sf):
-    gone = F.transform("opts", lambda x: tx.option_family(x).isin("sometimes", "abstain"))
-    o = mcq(spark).where("opts IS NOT NULL").select("id", F.posexplode(op.elimination_policy(gone)).alias("i", "p"))
-    return o.select("id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("letter"), r6("p").alias("chance"))
-
-
-@query(f"WITH {_P} SELECT id, s.s AS shift, opts[(s.s) % 4 + 1] AS first_shown, opts[(3 + s.s) % 4 + 1] AS last_shown, substr('ABCD', (position(gold IN 'ABCD') - 1 - s.s + 4) % 4 + 1, 1) AS shown_gold FROM g CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS s) s WHERE good")
-def rotate_options(spark, sf):
-    r = mcq(spark).where("opts IS NOT NULL").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    shown = op.rotated(F.col("opts"), F.col("shift"))
-    at = (F.instr(F.lit("ABCD"), F.col("gold")) - 1 - F.col("shift") + 4) % 4 + 1
-    return r.select("id", "shift", F.get(shown, F.lit(0)).alias("first_shown"), F.get(shown, F.lit(3)).alias("last_shown"), F.substring(F.lit("ABCD"), at.cast("int"), F.lit(1)).alias("shown_gold"))
-
-
 _ROT = f"""WITH d AS (SELECT doc_id AS id, {L("'gold|' || doc_id")} AS gold FROM documents), r AS (SELECT id, gold, unnest([0,1,2,3]) AS s FROM d),
 x AS (SELECT id, gold, s, list_transform([0,1,2,3], lambda i: ('0x' || substr(md5('logit|' || id || '|' || s || '|' || i), 1, 8))::BIGINT % 1000 / 100.0) AS lg FROM r),
 y AS (SELECT id, gold, s, list_transform([0,1,2,3], lambda j: lg[(j - s + 4) % 4 + 1]) AS o FROM x),
@@ -168,60 +92,15 @@ def jaccard_overlap(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", r6(tx.jaccard(F.array_distinct("a"), F.array_distinct("q"))).alias("jaccard"))
 
 
-@query(f"SELECT conv_id, turn, len(list_filter(list_distinct(a), lambda x: list_contains({tx.COMPARATIVES!r}, x) AND NOT list_contains(q, x))) AS n_added FROM {_QT}")
-def comparatives_added(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", F.size(F.array_except(tx.comparatives(F.col("a")), tx.comparatives(F.col("q")))).cast("long").alias("n_added"))
-
-
-_CUE = {"has_because": "because since", "has_then": "then next", "has_first": "first", "has_therefore": "therefore thus hence", "has_if": "if", "has_not": "not", "has_image": "image images picture pictures"}
-
-
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, " + ", ".join(f"len(list_intersect(w, {v.split()!r})) > 0 AS {k}" for k, v in _CUE.items()) + " FROM t")
-def cue_flags(spark, sf):
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    t = table(spark, sf, "documents").select("doc_id", w.alias("w"))
-    return t.select("doc_id", *[F.arrays_overlap("w", F.array(*map(F.lit, v.split()))).alias(k) for k, v in _CUE.items()])
-
-
-ANSWERS = [
-    (1, "<answer>b</answer>", "B", 0, None), (2, "I think the answer is: C because", "C", 1, None), (3, "(D)", "D", 2, "D"), (4, "It could be A or so", "A", 3, None), (5, "no idea", None, None, None),
-    (6, "Answer: A\nno wait\nAnswer: **B**", "A", 1, "B"), (7, "answer：D", "D", 1, "D"), (8, "first line\n\n**C**\n", "C", 3, "C"), (9, "", None, None, None), (10, "The answer is (a).", "A", 1, None),
-]
-_lit = lambda v: "NULL" if v is None else repr(v)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(a)}, {_lit(r)}, {_lit(z)})" for i, _, a, r, z in ANSWERS) + ") t(id, answer, rule, last)")
-def answer_ladder(spark, sf):
-    d = spark.createDataFrame([x[:2] for x in ANSWERS], "id int, t string")
-    return d.select("id", tx.answer(F.col("t")).alias("answer"), tx.answer_rule(F.col("t")).alias("rule"), tx.last_answer(F.col("t")).alias("last"))
-
+_ADDED = "list_filter({words!r}, lambda w: regexp_matches({x}, '(?i)\\b' || w || '\\b'))"
 
-MIRRORS = [
-    (1, "Left, rightmost, clockwise, and counter-clockwise.", "Right, leftmost, counterclockwise, and clockwise."),
-    (2, "LEFT of the Right one", "RIGHT of the Left one"),
-    (3, "nothing to swap", "nothing to swap"),
-    (4, "Clockwise then COUNTERCLOCKWISE", "Counterclockwise then CLOCKWISE"),
-]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, _, b in MIRRORS) + ") t(id, mirrored)")
-def mirror_swap(spark, sf):
-    return spark.createDataFrame([x[:2] for x in MIRRORS], "id int, t string").select("id", tx.mirrored(F.col("t")).alias("mirrored"))
-
-
-@query()
-def lexicon_tags(spark, sf):
-    return lexicon.tag_questions(mcq(spark).where("opts IS NOT NULL"))
-
-
-_LOW = "lower(stem || ' ' || array_to_string(opts, ' '))"
-
-
-@query(f"""WITH {_P} SELECT id, CASE WHEN regexp_matches({_LOW}, 'order|before|after|first|sequence') THEN 'unsafe' WHEN regexp_matches(lower(stem), '\\b(first|second|third|fourth|last|image \\d)\\b') THEN 'label_dependent' ELSE 'safe' END AS reorder_level FROM g WHERE good""")
-def reorder_level(spark, sf):
-    both = F.lower(F.concat_ws(" ", "stem", F.array_join("opts", " ")))
-    level = F.when(both.rlike("order|before|after|first|sequence"), "unsafe").when(F.lower("stem").rlike(r"\b(first|second|third|fourth|last|image \d)\b"), "label_dependent").otherwise("safe")
-    return mcq(spark).where("opts IS NOT NULL").select("id", level.alias("reorder_level"))
+@query(f"SELECT conv_id, turn, len(list_filter({_ADDED.format(words=tx.COMPARATIVES, x='trace')}, lambda w: NOT regexp_matches(question, '(?i)\\b' || w || '\\b'))) AS n_added FROM (SELECT q.conv_id, q.turn, q.text AS question, a.text || ' ' || {U("'cmp|' || q.conv_id")} % 9 || ' ' || {tx.COMPARATIVES!r}[({U("'cmp|' || q.conv_id")} % 14 + 1)::INT] AS trace FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant')")
+def comparatives_added(spark, sf):
+    """Comparatives of an answer, to which a drawn one is added, that its question has not."""
+    k = u32("cmp", F.col("conv_id"))
+    trace = F.concat_ws(" ", "trace", (k % 9).cast("string"), F.element_at(F.array(*map(F.lit, tx.COMPARATIVES)), (k % 14 + 1).cast("int")))
+    return turns(spark, sf).select("conv_id", "turn", F.size(F.array_except(tx.comparatives(trace), tx.comparatives(F.col("question")))).cast("long").alias("n_added"))
 
 
 @query("SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n_words, regexp_replace(lower(text), '^(the|a|an|this|that) ', '') AS head FROM documents")
@@ -232,33 +111,3 @@ def text_measures(spark, sf):
 @query(f"WITH {EV} SELECT id, condition, {L("'mock|' || id || '|' || condition")} AS mock_answer FROM (SELECT DISTINCT id, condition FROM ev)")
 def mock_model(spark, sf):
     return events(spark, sf).select("id", "condition").distinct().withColumn("mock_answer", letter("mock", F.col("id"), F.col("condition")))
-
-
-@query("SELECT doc_id, variant, substr(text, 1, 20) || '|' || variant AS prompt FROM (SELECT doc_id, text, unnest(['orig', 'mirror', 'reorder', 'shuffle']) AS variant, unnest([true, regexp_matches(text, '(?i)(the|de)'), n_chars > 1000, true]) AS ok FROM documents) WHERE ok")
-def variant_fan_out(spark, sf):
-    d = table(spark, sf, "documents")
-    eligible = F.array(F.struct(F.lit("orig").alias("variant"), F.lit(True).alias("ok")), F.struct(F.lit("mirror").alias("variant"), F.col("text").rlike("(?i)(the|de)").alias("ok")), F.struct(F.lit("reorder").alias("variant"), (F.col("n_chars") > 1000).alias("ok")), F.struct(F.lit("shuffle").alias("variant"), F.lit(True).alias("ok")))
-    return d.select("doc_id", "text", F.explode(F.filter(eligible, lambda x: x["ok"])).alias("v")).select("doc_id", "v.variant", F.concat_ws("|", F.substring("text", 1, 20), "v.variant").alias("prompt"))
-
-
-@query(f"""WITH {_P}, t AS (SELECT doc_id, unnest(list_distinct({_T('text')})) AS token FROM documents), c AS (SELECT t.token, count(*) AS n, count(*) FILTER (WHERE l.quality = 1) AS ok FROM t JOIN labels l ON l.doc_id = t.doc_id GROUP BY 1),
-o AS (SELECT id, unnest([0, 1, 2, 3]) AS i, unnest(opts) AS opt FROM g WHERE good), w AS (SELECT id, i, unnest(list_distinct({_T('opt')})) AS token FROM o),
-pr AS (SELECT w.id, w.i, round(avg(coalesce(ln((c.ok + 1) / (c.n - c.ok + 3)), ln(1.0 / 3))), 9) AS v FROM w LEFT JOIN c ON c.token = w.token GROUP BY 1, 2), mx AS (SELECT *, max(v) OVER (PARTITION BY id) AS top FROM pr), h AS (SELECT *, (abs(v - top) <= 1e-8 + 1e-5 * abs(top))::INT AS hit FROM mx)
-SELECT id, substr('ABCD', i + 1, 1) AS letter, round(hit / sum(hit) OVER (PARTITION BY id), 6) AS chance FROM h""")
-def content_prior_policy(spark, sf):
-    """Options by the mean log-odds of their tokens among labelled documents; unseen tokens count ln(1/3)."""
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
-    c = t.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("ok"))
-    w = mcq(spark).where("opts IS NOT NULL").select("id", F.posexplode("opts").alias("i", "opt")).select("id", "i", F.explode(F.array_distinct(tx.tokens(F.col("opt")))).alias("token"))
-    odds = F.coalesce(F.log((F.col("ok") + 1) / (F.col("n") - F.col("ok") + 3)), F.log(F.lit(1.0) / 3))
-    p = w.join(c, "token", "left").groupBy("id", "i").agg(F.round(F.avg(odds), 9).alias("v"))
-    per = p.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
-    return per.select("id", F.posexplode(op.extremum_policy(F.col("v"))).alias("i", "p")).select("id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("letter"), r6("p").alias("chance"))
-
-
-REFERENCES = [(1, "In the second image, and in Image 3, then the last picture", "2,3,last"), (2, "first photo of image 10", "1,10"), (3, "no reference", ""), (4, "the Fifth view; image1", "5,1")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, _, r in REFERENCES) + ") t(id, refs)")
-def image_references(spark, sf):
-    return spark.createDataFrame([x[:2] for x in REFERENCES], "id int, t string").select("id", F.array_join(lexicon.image_references(F.col("t")), ",").alias("refs"))
