@@ -11,25 +11,27 @@ from tallyloom.plans.registry import EV, J, L, S, U, events, query, r6
 from tallyloom.plans.scan_join import joined_grid
 from tallyloom.sources.readers import table
 
-_IT = "x AS (SELECT d.lang, l.quality::DOUBLE AS x, row_number() OVER ({0} ORDER BY l.doc_id) - 1 AS i, count(*) OVER ({0}) AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+_IT = "x AS (SELECT d.lang, l.doc_id AS id, l.quality::DOUBLE AS x, row_number() OVER (ORDER BY l.quality, l.doc_id) - 1 AS i, count(*) OVER () AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 
 
-def _values(spark, sf, strata):
-    x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    w = Window.partitionBy(*strata).orderBy("doc_id") if strata else Window.orderBy("doc_id")
-    return x.select(*strata, F.col("quality").cast("double").alias("x"), (F.row_number().over(w) - 1).cast("long").alias("i"))
-
-
-@query(f"""WITH {_IT.format("")}, r AS (SELECT unnest(range(200)) AS rep), d AS (SELECT r.rep, {U("'boot|1|' || r.rep || '|' || x.i")} % x.n AS i FROM x CROSS JOIN r),
+@query(f"""WITH {_IT}, r AS (SELECT unnest(range(10000)) AS rep), d AS (SELECT r.rep, {U("'boot|1|' || r.rep || '|' || x.id")} % x.n AS i FROM x CROSS JOIN r),
 m AS (SELECT d.rep, avg(x.x) AS mean FROM d JOIN x ON x.i = d.i GROUP BY 1) SELECT round(avg(mean), 6) AS boot_mean, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""")
 def bootstrap_iid(spark, sf):
-    return stats.interval(stats.bootstrap_means(_values(spark, sf, []), 200, 1)).select(*[r6(c).alias(c) for c in ("boot_mean", "ci_low", "ci_high")])
+    x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("x"))
+    return stats.interval(stats.bootstrap_means(x, 10_000, 1)).select(*[r6(c).alias(c) for c in ("boot_mean", "ci_low", "ci_high")])
+
+
+_PAIR = "y AS (SELECT category, id, max(CASE WHEN condition = 'click' THEN correct::INT END) AS a, max(CASE WHEN condition = 'view' THEN correct::INT END) AS b FROM s GROUP BY 1, 2), x AS (SELECT category, id, (a - b)::DOUBLE AS x, row_number() OVER (PARTITION BY category ORDER BY a - b, id) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM y)"
 
 
-@query(f"""WITH {_IT.format("PARTITION BY d.lang")}, r AS (SELECT unnest(range(200)) AS rep), d AS (SELECT r.rep, x.lang, {U("'boot|0|' || x.lang || '|' || r.rep || '|' || x.i")} % x.n AS i FROM x CROSS JOIN r),
-m AS (SELECT d.rep, avg(x.x) AS mean FROM d JOIN x ON x.i = d.i AND x.lang = d.lang GROUP BY 1) SELECT round(avg(mean), 6) AS boot_mean, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""")
+@query(f"""WITH {S}, {_PAIR}, r AS (SELECT unnest(range(2000)) AS rep), d AS (SELECT r.rep, x.category, {U("'boot|0|' || x.category || '|' || r.rep || '|' || x.id")} % x.n AS i FROM x CROSS JOIN r),
+m AS (SELECT d.rep, avg(x.x) AS mean FROM d JOIN x ON x.i = d.i AND x.category = d.category GROUP BY 1)
+SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM x WHERE x = 1) AS corrected, (SELECT count(*) FROM x WHERE x = -1) AS introduced, (SELECT round(avg(x), 6) FROM x) AS diff, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""")
 def bootstrap_stratified_paired(spark, sf):
-    return stats.interval(stats.bootstrap_means(_values(spark, sf, ["lang"]), 200, 0, ["lang"])).select(*[r6(c).alias(c) for c in ("boot_mean", "ci_low", "ci_high")])
+    """Mean difference of two conditions over the same items, with an interval from resampling within categories."""
+    x = joined_grid(spark, sf).where("condition IN ('click', 'view')").groupBy("category", "id").agg((F.max(F.when(F.col("condition") == "click", F.col("correct").cast("int"))) - F.max(F.when(F.col("condition") == "view", F.col("correct").cast("int")))).cast("double").alias("x"))
+    seen = x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == 1).alias("corrected"), F.count_if(F.col("x") == -1).alias("introduced"), r6(F.avg("x")).alias("diff"))
+    return seen.join(stats.interval(stats.bootstrap_means(x, 2000, 0, ["category"])).select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high")))
 
 
 @query(f"""WITH {EV}, x AS (SELECT condition, latency, (pred IS NOT DISTINCT FROM gold)::INT AS y FROM ev), r AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY latency) + (count(*) OVER (PARTITION BY condition, latency) - 1) / 2.0 AS r FROM x)
@@ -72,10 +74,12 @@ def holm_adjust(spark, sf):
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS x, rank() OVER (ORDER BY w) + (count(*) OVER (PARTITION BY w) - 1) / 2.0 AS y
-FROM (SELECT n_chars, len(regexp_extract_all(text, '[.]')) AS w FROM documents)) SELECT round(corr(x, y), 6) AS spearman_rho, count(*) AS n FROM r""")
+FROM (SELECT n_chars, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\n]')) AS w FROM documents)), c AS (SELECT corr(x, y) AS r, count(*) AS n FROM r), t AS (SELECT r, n, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c),
+g AS (SELECT r, n, t, unnest(range(400001)) / 400000.0 * 40 AS u FROM t), f AS (SELECT r, n, t, u, CASE WHEN u < pi() / 2 * sqrt(n - 2) THEN pow(cos(u / sqrt(n - 2)), n - 3) ELSE 0 END AS d FROM g)
+SELECT round(min(r), 6) AS spearman_rho, min(n) AS n, round(sum(d) FILTER (WHERE u >= atan(t / sqrt(n - 2)) * sqrt(n - 2)) / sum(d), 3) AS p_value FROM f""")
 def spearman(spark, sf):
-    d = table(spark, sf, "documents").select("n_chars", F.regexp_count("text", F.lit("[.]")).alias("w"))
-    return stats.spearman(d, "n_chars", "w").withColumn("spearman_rho", r6("spearman_rho"))
+    d = table(spark, sf, "documents").select("n_chars", F.regexp_count("text", F.lit(r"[\x{4E00}-\x{9FFF}\n]")).alias("w"))
+    return stats.spearman(d, "n_chars", "w").withColumn("spearman_rho", r6("spearman_rho")).withColumn("p_value", F.round("p_value", 3))
 
 
 @query(f"""WITH {EV} SELECT condition, round(coalesce(CASE WHEN var_pop(k) > 0 THEN regr_slope(latency, k) END, 0), 6) AS slope, round(coalesce(CASE WHEN var_pop(k) > 0 THEN regr_intercept(latency, k) END, avg(latency)), 6) AS intercept, count(*) AS n FROM ev GROUP BY 1""")
@@ -85,16 +89,16 @@ def ols_latency_fit(spark, sf):
 
 
 @query(f"""WITH d AS (SELECT doc_id, {L("'gold|' || doc_id")} AS gold, {L("'pred|' || doc_id", 4)} AS pred FROM documents), o AS (SELECT avg((gold = pred)::INT) AS obs FROM d),
-z AS (SELECT r.rep, avg((gold = {L("'null|' || r.rep || '|' || doc_id")})::INT) AS null_score FROM d CROSS JOIN (SELECT unnest(range(200)) AS rep) r GROUP BY 1)
-SELECT round((SELECT obs FROM o), 6) AS observed, round((1 + count(*) FILTER (WHERE null_score >= (SELECT obs FROM o) - 1e-12)) / 201.0, 6) AS p_value FROM z""")
+z AS (SELECT r.rep, avg((gold = {L("'null|' || r.rep || '|' || doc_id")})::INT) AS null_score FROM d CROSS JOIN (SELECT unnest(range(10000)) AS rep) r GROUP BY 1)
+SELECT round((SELECT obs FROM o), 6) AS observed, round((1 + count(*) FILTER (WHERE null_score >= (SELECT obs FROM o) - 1e-12)) / 10001.0, 6) AS p_value FROM z""")
 def randomisation_p(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", letter("gold", F.col("doc_id")).alias("gold"), letter("pred", F.col("doc_id")).alias("pred"))
-    z = d.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(199))))
+    z = d.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(9999))))
     hit = F.when(F.col("rep") < 0, F.col("gold") == F.col("pred")).otherwise(F.col("gold") == letter("null", F.col("rep"), F.col("doc_id")))
     m = z.groupBy("rep").agg(F.avg(hit.cast("int")).alias("m"))
     obs = F.max(F.when(F.col("rep") < 0, F.col("m"))).over(Window.partitionBy())
     m = m.withColumn("obs", obs).where("rep >= 0")
-    return m.agg(r6(F.max("obs")).alias("observed"), r6((1 + F.count_if(F.col("m") >= F.col("obs") - 1e-12)) / F.lit(201.0)).alias("p_value"))
+    return m.agg(r6(F.max("obs")).alias("observed"), r6((1 + F.count_if(F.col("m") >= F.col("obs") - 1e-12)) / F.lit(10001.0)).alias("p_value"))
 
 
 SIM = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -110,18 +114,18 @@ def knn_top5(spark, sf):
     return similarity.nearest(_vectors(spark, sf), 5).select("id", "other", r6("sim").alias("sim"))
 
 
-@query(f"""WITH {_KNN}, l AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings), r AS (SELECT unnest(range(20)) AS rep),
+@query(f"""WITH {_KNN}, l AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings), r AS (SELECT unnest(range(1000)) AS rep),
 t AS (SELECT r.rep, l.id, row_number() OVER (PARTITION BY r.rep ORDER BY md5('perm|3|' || r.rep || '|' || l.id), l.id) AS place FROM l CROSS JOIN r), p AS (SELECT t.rep, t.id, l.label FROM t JOIN l ON l.place = t.place),
 a AS (SELECT avg((x.label = y.label)::INT) AS obs FROM k JOIN l x ON x.id = k.id JOIN l y ON y.id = k.other), n AS (SELECT x.rep, avg((x.label = y.label)::INT) AS m FROM k JOIN p x ON x.id = k.id JOIN p y ON y.id = k.other AND y.rep = x.rep GROUP BY 1)
-SELECT round((SELECT obs FROM a), 6) AS observed, round(avg(m), 6) AS null_mean, round(quantile_cont(m, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (WHERE m >= (SELECT obs FROM a) - 1e-12)) / 21.0, 6) AS p_value FROM n""")
+SELECT round((SELECT obs FROM a), 6) AS observed, round(avg(m), 6) AS null_mean, round(quantile_cont(m, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (WHERE m >= (SELECT obs FROM a) - 1e-12)) / 1001.0, 6) AS p_value FROM n""")
 def permutation_knn(spark, sf):
     near = similarity.nearest(_vectors(spark, sf), 5).select("id", "other")
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    all_ = similarity.permuted_labels(labels, 20, 3).unionByName(labels.withColumn("rep", F.lit(-1)))
+    all_ = similarity.permuted_labels(labels, 1000, 3).unionByName(labels.withColumn("rep", F.lit(-1)))
     x = near.join(all_, "id").select("rep", "other", F.col("label").alias("a")).join(all_.select("rep", F.col("id").alias("other"), F.col("label").alias("b")), ["rep", "other"])
     m = x.groupBy("rep").agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("m"))
     m = m.withColumn("obs", F.max(F.when(F.col("rep") < 0, F.col("m"))).over(Window.partitionBy())).where("rep >= 0")
-    return m.agg(r6(F.max("obs")).alias("observed"), r6(F.avg("m")).alias("null_mean"), r6(F.percentile("m", F.lit(0.95))).alias("null_p95"), r6((1 + F.count_if(F.col("m") >= F.col("obs") - 1e-12)) / F.lit(21.0)).alias("p_value"))
+    return m.agg(r6(F.max("obs")).alias("observed"), r6(F.avg("m")).alias("null_mean"), r6(F.percentile("m", F.lit(0.95))).alias("null_p95"), r6((1 + F.count_if(F.col("m") >= F.col("obs") - 1e-12)) / F.lit(1001.0)).alias("p_value"))
 
 
 @query(f"WITH {_KNN} SELECT x.label AS label, y.label AS neighbour_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY x.label), 6) AS share FROM k JOIN embeddings x ON x.vec_id = k.id JOIN embeddings y ON y.vec_id = k.other GROUP BY 1, 2")
@@ -143,12 +147,45 @@ def macro_f1(spark, sf):
 
 @query()
 def kmeans_ami(spark, sf):
-    """Clusters of the embeddings against their labels: sizes of the contingency table (iterative, no SQL)."""
+    """Adjusted mutual information of the labels and the best of ten clusterings of the embeddings (iterative, no SQL)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     e = table(spark, sf, "embeddings").select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=11, seed=0, maxIter=10).fit(e).transform(e).groupBy("prediction", "label").agg(F.count(F.lit(1)).alias("n"))
+    fits = [KMeans(k=11, seed=k, maxIter=10).fit(e) for k in range(10)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    return stats.adjusted_mutual_information(best.transform(e), "prediction", "label").withColumn("ami", r6("ami"))
+
+
+_LG = "lgamma({0} + 1)"
+
+
+@query(f"""WITH l AS (SELECT d.lang AS a, coalesce(b.quality::VARCHAR, 'none') || (d.n_chars % 3) AS b FROM documents d LEFT JOIN labels b ON b.doc_id = d.doc_id), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c),
+x AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), y AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), mi AS (SELECT sum(n / t * ln(n * t / (na * nb))) AS mi FROM c JOIN x USING (a) JOIN y USING (b) CROSS JOIN t),
+h AS (SELECT (SELECT -sum(na / t * ln(na / t)) FROM x, t) AS ha, (SELECT -sum(nb / t * ln(nb / t)) FROM y, t) AS hb),
+k AS (SELECT na, nb, t, unnest(range(greatest(1, na + nb - t)::BIGINT, least(na, nb)::BIGINT + 1))::DOUBLE AS k FROM x CROSS JOIN y CROSS JOIN t),
+e AS (SELECT sum(k / t * ln(t * k / (na * nb)) * exp({_LG.format('na')} + {_LG.format('nb')} + {_LG.format('(t - na)')} + {_LG.format('(t - nb)')} - {_LG.format('t')} - {_LG.format('k')} - {_LG.format('(na - k)')} - {_LG.format('(nb - k)')} - {_LG.format('(t - na - nb + k)')})) AS emi FROM k)
+SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami, (SELECT t FROM t)::BIGINT AS n FROM mi, h, e""")
+def labelling_ami(spark, sf):
+    """Agreement beyond chance of two labellings of the documents."""
+    l = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return stats.adjusted_mutual_information(l.select(F.col("lang").alias("x"), F.concat(F.coalesce(F.col("quality").cast("string"), F.lit("none")), (F.col("n_chars") % 3).cast("string")).alias("y")), "x", "y").withColumn("ami", r6("ami"))
+
+
+_FLAG = "l AS (SELECT vec_id AS id, label, ({0} % 3 = 0)::INT AS flag, CASE WHEN {1} % 2 = 0 THEN 'explore' ELSE 'confirm' END AS split, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)".format(U("'flag|' || vec_id"), U("'half|' || vec_id"))
+
+
+@query(f"""WITH {_KNN}, {_FLAG}, r AS (SELECT unnest(range(1000)) AS rep), t AS (SELECT r.rep, l.id, row_number() OVER (PARTITION BY r.rep ORDER BY md5('perm|7|' || r.rep || '|' || l.id), l.id) AS place FROM l CROSS JOIN r), p AS (SELECT t.rep, t.id, l.flag FROM t JOIN l ON l.place = t.place),
+q AS (SELECT x.split, x.id, k.other, x.label = y.label AS same, (x.flag = y.flag)::INT AS agree FROM k JOIN l x ON x.id = k.id JOIN l y ON y.id = k.other),
+o AS (SELECT split, avg(agree) FILTER (WHERE same) AS same_rate, count(*) FILTER (WHERE same) AS n_same, avg(agree) FILTER (WHERE NOT same) AS cross_rate, count(*) FILTER (WHERE NOT same) AS n_cross FROM q GROUP BY 1),
+n AS (SELECT q.split, a.rep, avg((a.flag = b.flag)::INT) AS m FROM q JOIN p a ON a.id = q.id JOIN p b ON b.id = q.other AND b.rep = a.rep WHERE NOT q.same GROUP BY 1, 2)
+SELECT o.split, round(same_rate, 6) AS same_rate, n_same, round(cross_rate, 6) AS cross_rate, n_cross, round(avg(m), 6) AS null_mean, round(quantile_cont(m, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (WHERE m >= cross_rate - 1e-12)) / 1001.0, 6) AS p_value FROM o JOIN n ON n.split = o.split GROUP BY ALL""")
+def masked_neighbour_agreement(spark, sf):
+    """Agreement of a flag between neighbours of the same and of other categories, per half, with a null for the latter."""
+    near = similarity.nearest(_vectors(spark, sf), 5).select("id", "other")
+    v = F.col("vec_id")
+    l = table(spark, sf, "embeddings").select(v.alias("id"), F.col("label").alias("category"), (u32("flag", v) % 3 == 0).cast("int").alias("label"), F.when(u32("half", v) % 2 == 0, "explore").otherwise("confirm").alias("split"))
+    return similarity.masked_agreement(near, l, 1000, 7).select("split", *[r6(c).alias(c) if c not in ("n_same", "n_cross") else F.col(c) for c in ("same_rate", "n_same", "cross_rate", "n_cross", "null_mean", "null_p95", "p_value")])
 
 
 @query()

@@ -13,22 +13,23 @@ from tallyloom.sources.readers import table
 _T = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:''[a-z]+)?')"
 
 
-_ROT = f"""WITH d AS (SELECT doc_id AS id, {L("'gold|' || doc_id")} AS gold FROM documents), r AS (SELECT id, gold, unnest([0,1,2,3]) AS s FROM d),
-x AS (SELECT id, gold, s, list_transform([0,1,2,3], lambda i: ('0x' || substr(md5('logit|' || id || '|' || s || '|' || i), 1, 8))::BIGINT % 1000 / 100.0) AS lg FROM r),
+_ROT = f"""WITH d AS (SELECT doc_id AS id, {L("'gold|' || doc_id")} AS gold FROM documents), r AS (SELECT id, gold, unnest([0,1,2,3]) AS s FROM d), q AS (SELECT * FROM r WHERE ('0x' || substr(md5('lost|' || id || '|' || s), 1, 8))::BIGINT % 19 > 0),
+x AS (SELECT id, gold, s, list_transform([0,1,2,3], lambda i: ('0x' || substr(md5('logit|' || id || '|' || s || '|' || i), 1, 8))::BIGINT % 1000 / 100.0) AS lg FROM q),
 y AS (SELECT id, gold, s, list_transform([0,1,2,3], lambda j: lg[(j - s + 4) % 4 + 1]) AS o FROM x),
-z AS (SELECT id, gold, list_position(o, list_max(o)) AS k, o FROM y)"""
+z AS (SELECT id, gold, s, list_position(o, list_max(o)) AS k, o FROM y)"""
 
 
 @query(f"""{_ROT} SELECT id, round(avg((substr('ABCD', k, 1) = gold)::INT), 6) AS rotation_accuracy, count(DISTINCT k) = 1 AS consistent, bool_and(substr('ABCD', k, 1) = gold) AS all_correct,
-substr('ABCD', list_position([round(avg(o[1]), 9), round(avg(o[2]), 9), round(avg(o[3]), 9), round(avg(o[4]), 9)], list_max([round(avg(o[1]), 9), round(avg(o[2]), 9), round(avg(o[3]), 9), round(avg(o[4]), 9)])), 1) = min(gold) AS consensus_correct FROM z GROUP BY id""")
+substr('ABCD', list_position([round(avg(o[1]), 9), round(avg(o[2]), 9), round(avg(o[3]), 9), round(avg(o[4]), 9)], list_max([round(avg(o[1]), 9), round(avg(o[2]), 9), round(avg(o[3]), 9), round(avg(o[4]), 9)])), 1) = min(gold) AS consensus_correct FROM z GROUP BY id HAVING count(DISTINCT s) = 4""")
 def circular_consensus(spark, sf):
+    """Questions of which all four rotations have an answer."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), letter("gold", F.col("doc_id")).alias("gold"))
-    r = d.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    r = d.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(u32("lost", F.col("id"), F.col("s")) % 19 > 0)
     logits = F.array(*[(u32("logit", F.col("id"), F.col("s"), i) % 1000) / 100.0 for i in range(4)])
     z = r.withColumn("o", op.unrotated(logits, F.col("s"))).withColumn("k", op.argmax(F.col("o")))
     hit = F.substring(F.lit("ABCD"), F.col("k") + 1, F.lit(1)) == F.col("gold")
     mean = F.array(*[F.round(F.avg(F.get("o", F.lit(j))), 9) for j in range(4)])
-    a = z.groupBy("id").agg(r6(F.avg(hit.cast("int"))).alias("rotation_accuracy"), (F.countDistinct("k") == 1).alias("consistent"), F.every(hit).alias("all_correct"), mean.alias("m"), F.min("gold").alias("gold"))
+    a = z.groupBy("id").agg(r6(F.avg(hit.cast("int"))).alias("rotation_accuracy"), (F.countDistinct("k") == 1).alias("consistent"), F.every(hit).alias("all_correct"), mean.alias("m"), F.min("gold").alias("gold"), F.countDistinct("s").alias("shifts")).where("shifts = 4")
     return a.select("id", "rotation_accuracy", "consistent", "all_correct", (F.substring(F.lit("ABCD"), op.argmax(F.col("m")) + 1, F.lit(1)) == F.col("gold")).alias("consensus_correct"))
 
 
@@ -108,6 +109,8 @@ def text_measures(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).cast("long").alias("n_words"), tx.strip_article(F.col("text")).alias("head"))
 
 
-@query(f"WITH {EV} SELECT id, condition, {L("'mock|' || id || '|' || condition")} AS mock_answer FROM (SELECT DISTINCT id, condition FROM ev)")
+@query(f"WITH {EV} SELECT id, condition, substr('ABCD', (('0x' || substr(sha256('mock|' || id || '|' || condition), 1, 2))::INT % 4) + 1, 1) AS mock_answer FROM (SELECT DISTINCT id, condition FROM ev)")
 def mock_model(spark, sf):
-    return events(spark, sf).select("id", "condition").distinct().withColumn("mock_answer", letter("mock", F.col("id"), F.col("condition")))
+    """A letter from a SHA-256 of the request, modulo 4."""
+    k = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("mock"), F.col("id"), "condition"), 256), 1, 2), 16, 10).cast("int") % 4
+    return events(spark, sf).select("id", "condition").distinct().withColumn("mock_answer", F.substring(F.lit("ABCD"), k + 1, F.lit(1)))

@@ -78,3 +78,8 @@ def image_suffix(c: str):
 def cache_lookup(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Entries of a content-addressed cache for ``keys``; with the prefix column, its folders are pruned."""
     return keys.withColumn("prefix", F.substring("key", 1, 2)).join(cache, ["prefix", "key"], "left")
+
+
+def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header and a stated schema; an empty field is null, and a cell of another type is an error."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)

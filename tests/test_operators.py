@@ -58,7 +58,7 @@ def test_spearman_and_line(spark):
 
 
 def test_bootstrap_keeps_strata(spark):
-    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 0.0)], "g string, i long, x double")
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 0.0)], "g string, id long, x double")
     assert {round(r["mean"], 9) for r in stats.bootstrap_means(df, 30, 0, ["g"]).collect()} == {round(2 / 3, 9)}
 
 
@@ -156,8 +156,8 @@ def test_evidence_repair_and_render(spark):
     fixed = {x["id"]: x["e"][0]["cross_view"] for x in df.where("id IN (1, 13)").select("id", evidence.repaired().alias("e")).collect()}
     assert fixed[13]["uncertainty"] == "medium" and fixed[1] is not None
     flat = evidence.flat(evidence.atoms(df.where("id = 1"))).first()["flat"].split("\n")
-    assert flat[0] == "[query_frame] Query frame: camera:cam2 (basis: second view)." and flat[-1] == "[u1] Unknown: what lies behind the door."
-    assert '[e1] e1 is an object labeled "red chair"; it is the same entity across views (uncertainty medium).' in flat
+    assert flat[0] == "[query_frame] Query frame: camera:cam3 (basis: asked from the stove)." and flat[-1] == "[u1] Unknown: whether the stove is on."
+    assert '[e4] e4 is an object labeled "steel kettle"; it is the same entity across views (uncertainty low).' in flat
     assert evidence.coverage(df.where("id = 15")).first()["n_entities"] is None
 
 
@@ -178,3 +178,47 @@ def test_readers_and_sinks(spark, tmp_path):
         readers.required(df, ["id", "nope"])
     assert "| 2 |" in sinks.markdown(df.select("id"))
     assert os.path.isdir(tmp_path / "c")
+
+
+def test_ami_and_student_t(spark):
+    def ami(a, b):
+        return stats.adjusted_mutual_information(spark.createDataFrame(list(zip(a, b)), "a int, b int"), "a", "b").first()["ami"]
+
+    assert math.isclose(ami([0, 0, 1, 1], [5, 5, 3, 3]), 1, abs_tol=1e-9) and ami([0, 0, 0, 0], [1, 1, 1, 1]) == 1 and math.isclose(ami([0, 0, 0, 0], [0, 1, 2, 3]), 0, abs_tol=1e-9)
+    a, b = [0, 0, 0, 1, 1, 2, 2, 2, 2, 1], [0, 0, 1, 1, 1, 2, 2, 0, 2, 2]
+
+    def mi(x, y):
+        n = len(x)
+        return sum(x_y / n * math.log(n * x_y / (x.count(i) * y.count(j))) for i in set(x) for j in set(y) if (x_y := sum(p == i and q == j for p, q in zip(x, y))))
+
+    rng_ = np.random.default_rng(0)
+    chance = np.mean([mi(a, rng_.permutation(b).tolist()) for _ in range(20000)])
+    want = (mi(a, b) - chance) / ((mi(a, a) + mi(b, b)) / 2 - chance)
+    assert abs(ami(a, b) - want) < 0.01
+    got = one(spark, stats.t_two_sided(F.lit(2.0), F.lit(10)), stats.t_two_sided(F.lit(-12.706204736), F.lit(1)), stats.t_two_sided(F.lit(1.959963985), F.lit(10_000_000)), stats.t_two_sided(F.lit(0.0), F.lit(5)))
+    assert np.allclose(list(got), [0.0733880, 0.05, 0.05, 1.0], atol=1e-5)
+
+
+def test_selection_keeps_groups_apart(spark):
+    from tallyloom.operators import selection
+
+    rows = [(i, f"c{i % 3}", i // 3, 2 + i % 4, "explore" if i % 2 else "confirm") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, category string, group long, n_images int, part string")
+    got = {x["id"]: x for x in selection.select_sets(df, 9, 2, [2, 3, 9], 0).collect()}
+    assert len(got) == 90 and sorted(x["position"] for x in got.values()) == list(range(1, 91))
+    role = lambda r: [x for x in got.values() if x["role"] == r]
+    assert len(role("eval")) == 9 and {x["part"] for x in role("eval")} == {"confirm"} and {x["n_images"] for x in role("eval")} == {2}
+    groups = [x["group"] for r in ("eval", "dev", "timing") for x in role(r)]
+    assert len(groups) == len(set(groups)) and {x["part"] for x in role("dev") + role("timing")} <= {"explore"}
+    assert len(role("timing")) == 1 and role("timing")[0]["n_images"] == 3  # no free explore item has 2, none has 9
+    order = {"eval": 0, "dev": 1, "timing": 2, "rest": 3}
+    by = [order[x["role"]] for x in sorted(got.values(), key=lambda x: x["position"])]
+    assert by == sorted(by) and all((x["reason"] is None) == (x["role"] != "rest") for x in got.values())
+
+
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,v\n1,2.5\n2,x\n")
+    with pytest.raises(Exception):  # noqa: B017
+        readers.typed_csv(spark, str(tmp_path / "t.csv"), "id int, v double").collect()
+    (tmp_path / "t.csv").write_text("id,v\n1,2.5\n2,\n")
+    assert [tuple(r) for r in readers.typed_csv(spark, str(tmp_path / "t.csv"), "id int, v double").collect()] == [(1, 2.5), (2, None)]
