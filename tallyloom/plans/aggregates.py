@@ -72,11 +72,10 @@ def operation_signatures(spark, sf):
 @query(f"""WITH {S} SELECT coalesce(category, '*') AS category, coalesce(condition, '*') AS condition, count(*) AS n, sum(correct::INT)::BIGINT AS n_correct, round(avg(correct::INT), 6) AS accuracy
 FROM s GROUP BY GROUPING SETS ((), (category), (condition))""")
 def grouping_sets_summary(spark, sf):
-    joined_grid(spark, sf).createOrReplaceTempView("__grid")
-    return spark.sql(
-        "SELECT coalesce(category, '*') AS category, coalesce(condition, '*') AS condition, count(*) AS n, sum(int(correct)) AS n_correct, round(avg(int(correct)), 6) AS accuracy "
-        "FROM __grid GROUP BY GROUPING SETS ((), (category), (condition))"
-    )
+    sets = joined_grid(spark, sf).groupingSets([[], ["category"], ["condition"]], "category", "condition")
+    correct = F.col("correct").cast("int")
+    out = sets.agg(F.count(F.lit(1)).alias("n"), F.sum(correct).alias("n_correct"), r6(F.avg(correct)).alias("accuracy"))
+    return out.fillna("*", ["category", "condition"])
 
 
 @query(f"""WITH {EV} SELECT p.condition, p.position, coalesce(c.n, 0)::BIGINT AS n, round(coalesce(c.n, 0) * 100.0 / t.n, 6) AS share_percent

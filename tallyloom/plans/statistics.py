@@ -10,6 +10,7 @@ from tallyloom.operators import similarity, stats
 from tallyloom.plans.registry import EV, J, L, S, U, events, query, r6
 from tallyloom.plans.scan_join import joined_grid
 from tallyloom.sources.readers import table
+from tallyloom.sources.staging import staged
 
 _IT = "x AS (SELECT d.lang, l.doc_id AS id, l.quality::DOUBLE AS x, row_number() OVER (ORDER BY l.quality, l.doc_id) - 1 AS i, count(*) OVER () AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 
@@ -208,7 +209,8 @@ def tfidf_logreg_cv(spark, sf):
     from tallyloom.functions.text import grams, tokens
 
     d = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", "lang", grams(tokens(F.col("text"))).alias("w"), (u32("fold", F.col("doc_id")) % 3).alias("fold"))
-    d = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep").fit(d).transform(d).cache()
+    d = staged(d, "grams")
+    d = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep").fit(d).transform(d)
     out = None
     for f in range(3):
         fit = Pipeline(stages=[HashingTF(inputCol="w", outputCol="tf", numFeatures=4096), IDF(inputCol="tf", outputCol="x", minDocFreq=2), LogisticRegression(featuresCol="x", maxIter=8, regParam=0.01)]).fit(d.where(F.col("fold") != f))
