@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import fm_quality, gif, html_text, language_id, mixing, near_dup, packing, quality_rules, secrets_scan, toxicity
+from tallyloom.llm import collocations, fm_quality, gif, html_text, language_id, mixing, near_dup, packing, quality_rules, secrets_scan, toxicity
 
 QUERIES = {
     "op1_quality_fm": fm_quality.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_gif": gif.query,
     "op10_near_dup": near_dup.query,
+    "op11_collocations": collocations.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_near_dup": near_dup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
