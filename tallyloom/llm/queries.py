@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import collocations, fm_quality, gif, html_text, language_id, mixing, near_dup, packing, quality_rules, secrets_scan, toxicity
+from tallyloom.llm import chat_format, collocations, fm_quality, gif, html_text, language_id, mixing, near_dup, packing, quality_rules, secrets_scan, toxicity, turn_repair
 
 QUERIES = {
     "op1_quality_fm": fm_quality.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_gif": gif.query,
     "op10_near_dup": near_dup.query,
     "op11_collocations": collocations.query,
+    "op12_chat_format": chat_format.query,
+    "op13_turn_repair": turn_repair.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
