@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +34,8 @@ SCALE = 1_000_000
 #: Bytes of text in a chunk; a longer text is a chunk by itself.
 CHUNK_BYTES = 32 << 20
 SALTS = 64
+#: Rows of an Arrow batch that goes back to Spark.
+BATCH = 1 << 16
 #: A name has the task in its highest 21 bits, the chunk of the task in 14, the index in the chunk in 28.
 _CHUNK_BITS, _INDEX_BITS = 14, 28
 
@@ -47,21 +48,25 @@ for _c in WORD_END:
 _BYTES = bytes(_BYTES)
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def encode(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of the words of all texts, -1 between pieces; the words by code; how often each occurs."""
     b = np.frombuffer(b"\n".join(texts).translate(_BYTES), np.uint8)
+    texts.clear()
     word = (b != 32) & (b != 10)
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    wide = np.int64 if len(b) > 1 << 30 else np.int32
+    edge = np.flatnonzero(word[1:] != word[:-1]).astype(wide) + 1 if len(b) else np.empty(0, wide)
+    edge = np.concatenate([[0] * bool(len(b) and word[0]), edge, [len(b)] * bool(len(b) and word[-1])]).astype(wide)
     start, size = edge[::2], np.diff(edge)[::2]
     if not len(start):
-        return np.empty(0, np.int32), [], np.empty(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(b[word])])
-    piece = np.searchsorted(np.flatnonzero(b == 10), start)
+        return np.empty(0, np.int32), pa.array([], pa.string()), np.empty(0, np.int64)
+    piece = np.searchsorted(np.flatnonzero(b == 10).astype(wide), start).astype(np.int32)
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    flat = b[word]
     del b, word, edge, start, size
-    coded = flat.dictionary_encode()
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
     codes = coded.indices.to_numpy()
-    return np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1), coded.dictionary.to_pylist(), np.bincount(codes)
+    return np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1), coded.dictionary.cast(pa.string()), np.bincount(codes)
 
 
 def pair_up(codes: np.ndarray, names: np.ndarray, index: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,19 +101,21 @@ def chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
             parts, langs, words, counts, base = [], [], [], [], 0
             for lang in sorted(by_lang):
                 codes, own, n = encode(by_lang.pop(lang))
-                parts += [np.where(codes < 0, codes, codes + np.int32(base)), np.array([-1])]
-                langs += [lang] * len(own)
-                words += own
+                codes[codes >= 0] += base
+                parts += [codes, np.array([-1], np.int32)]
+                langs.append(pa.DictionaryArray.from_arrays(np.zeros(len(own), np.int32), [lang]).dictionary_decode())
+                words.append(own)
                 counts.append(n)
                 base += len(own)
             made += 1
+            each = lambda arrays: pa.ListArray.from_arrays(pa.array([0, base], pa.int32()), pa.concat_arrays(arrays))
             return pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([(task << _CHUNK_BITS) + made - 1], pa.int64()),
                     "codes": pa.array([np.concatenate(parts).astype("<i4").tobytes()], pa.binary()),
-                    "lang": pa.array([langs], pa.list_(pa.string())),
-                    "word": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                    "n": pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
+                    "lang": each(langs),
+                    "word": each(words),
+                    "n": each([pa.array(n, pa.int64()) for n in counts]),
                 }
             )
 
@@ -148,20 +155,23 @@ def _pairs(coded: DataFrame, replies: list[DataFrame]) -> DataFrame:
         told = told.unionByName(r.select("chunk", "idx", "name", F.lit(k).alias("level")))
     levels = len(replies)
 
-    def pair(chunk: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+    def pair(chunk: pa.Table, named: pa.Table) -> pa.Table:
         if not len(chunk) or not len(named):
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("chunk", "idx", "left", "right", "n")})
-        codes, known = np.frombuffer(chunk["codes"].iloc[0], "<i4"), int(chunk["known"].iloc[0])
+            return shape.empty_table()
+        codes, known = np.frombuffer(chunk["codes"][0].as_buffer(), "<i4"), chunk["known"][0].as_py()
         level, idx, name = (named[c].to_numpy() for c in ("level", "idx", "name"))
         for k in range(levels):
             names = np.full(known, -1, np.int64)
             names[idx[level == k]] = name[level == k]
             codes, left, right, n = pair_up(codes, names, index=k + 1 < levels)
             known = len(n)
-        return pd.DataFrame({"chunk": chunk["chunk"].iloc[0], "idx": np.arange(len(n)), "left": left, "right": right, "n": n})
+        columns = [np.full(known, chunk["chunk"][0].as_py()), np.arange(known), left, right, n]
+        whole = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=shape)
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH), shape)
 
+    shape = pa.schema([(c, pa.int64()) for c in ("chunk", "idx", "left", "right", "n")])
     own = coded.select("chunk", "codes", F.size("word").alias("known"))
-    return own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(pair, struct_of("chunk long, idx long, left long, right long, n long"))
+    return own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(pair, struct_of("chunk long, idx long, left long, right long, n long"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
