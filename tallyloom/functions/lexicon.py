@@ -127,8 +127,12 @@ def image_references(text: Column) -> Column:
     ahead matches: the text is split before each, and the lengths of the parts give the offsets.
     """
     parts = F.split(text, rf"(?i)(?={_REF})")
-    ends = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))
-    both = F.transform(ends, lambda at: F.struct(at.alias("start"), _value(F.regexp_extract(F.substring(text, at + 1, F.length(text)), rf"(?i)^(?:{_REF})", 0)).alias("image")))
+    starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["all"], a["at"]).alias("all")), lambda a: a["all"])
+    # A reference reaches into the two parts after its own at most, as an ordinal and a number may begin others inside it.
+    tail = lambda k: F.slice(parts, F.lit(k), F.greatest(F.size(parts), F.lit(1)))
+    join = lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    seen = F.zip_with(F.zip_with(parts, tail(2), join), tail(3), join)
+    both = F.zip_with(starts, seen, lambda at, x: F.struct(at.alias("start"), _value(F.regexp_extract(x, rf"(?i)^(?:{_REF})", 0)).alias("image")))
     return F.filter(both, lambda r: r["image"].isNotNull())
 
 
@@ -151,7 +155,7 @@ def anchor_image(stem: Column) -> Column:
     """
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
     at, after = _followed(stem, "camera_self", 80)
-    camera = F.transform(at, lambda x, i: F.coalesce(first_reference(x), first_reference(F.get(after, i))))
+    camera = F.zip_with(at, after, lambda x, y: F.coalesce(first_reference(x), first_reference(y)))
     clauses = F.filter(F.split(stem, _CLAUSE), lambda c: has(c, "front_def") & has(c, "front_by_camera"))
     relative = F.transform(_followed(stem, "relative", 60)[1], first_reference)
     return F.coalesce(first(camera), first(F.transform(clauses, first_reference)), first(relative))

@@ -11,7 +11,7 @@ from tallyloom.plans.graphs import _CC, _links
 from tallyloom.plans.questions import _MENT, _P, _Q, CELLS, MENTIONS, _drawn, _pick, asked, good
 from tallyloom.plans.registry import CONDITIONS, EV, J, L, U, events, judgments, query, r6
 from tallyloom.plans.texts import variants
-from tallyloom.plans.windows import global_rank
+from tallyloom.operators.ranks import global_rank
 from tallyloom.sources.readers import table
 
 

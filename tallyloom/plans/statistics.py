@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import letter, u32
-from tallyloom.operators import similarity, stats
+from tallyloom.operators import learner, similarity, stats
 from tallyloom.plans.registry import EV, J, L, S, U, events, query, r6
 from tallyloom.plans.scan_join import joined_grid
 from tallyloom.sources.readers import table
@@ -201,19 +201,93 @@ def pca_projection(spark, sf):
 
 @query()
 def tfidf_logreg_cv(spark, sf):
-    """Language from TF-IDF of uni- and bigrams: held-out accuracy per fold of a hash."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-
-    from tallyloom.functions.text import grams, tokens
-
-    d = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", "lang", grams(tokens(F.col("text"))).alias("w"), (u32("fold", F.col("doc_id")) % 3).alias("fold"))
-    d = staged(d, "grams")
-    d = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep").fit(d).transform(d)
-    out = None
-    for f in range(3):
-        fit = Pipeline(stages=[HashingTF(inputCol="w", outputCol="tf", numFeatures=4096), IDF(inputCol="tf", outputCol="x", minDocFreq=2), LogisticRegression(featuresCol="x", maxIter=8, regParam=0.01)]).fit(d.where(F.col("fold") != f))
-        score = fit.transform(d.where(F.col("fold") == f)).agg(F.lit(f).alias("fold"), F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("prediction") == F.col("label")).cast("int"))).alias("accuracy"))
-        out = score if out is None else out.unionByName(score)
-    return out
+    """Language from TF-IDF of uni- and bigrams: nested cross-validation, per outer fold and over all (fold null). At most
+    ``learner_rows`` documents of a language are learned from, drawn by a hash."""
+    d = bounded(table(spark, sf, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), "lang", "text"), "lang")
+    classes = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]
+    items = d.select("id", learner.class_index(F.col("lang"), classes).alias("label"))
+    found = learner.probe(items, learner.gram_counts(d), seed="tfidf")
+    cells = found.groupBy("fold", "c", "label", "prediction").count().collect()
+    rows = []
+    for f in sorted({r.fold for r in cells}):
+        own = [r for r in cells if r.fold == f]
+        t = {(r.label, r.prediction): r["count"] for r in own}
+        rows.append((f, own[0].c, sum(t.values()), sum(n for (a, b), n in t.items() if a == b) / sum(t.values()), learner.macro_f1(t), None))
+    pooled: dict = {}
+    for r in cells:
+        pooled[r.label, r.prediction] = pooled.get((r.label, r.prediction), 0) + r["count"]
+    if rows:
+        n = sum(pooled.values())
+        f1 = [x[4] for x in rows]
+        sd = (sum((x - sum(f1) / len(f1)) ** 2 for x in f1) / len(f1)) ** 0.5
+        rows.append((None, None, n, sum(v for (a, b), v in pooled.items() if a == b) / n, learner.macro_f1(pooled), sd))
+    return spark.createDataFrame(rows, "fold int, c double, n long, accuracy double, macro_f1 double, macro_f1_sd double")
+
+
+#: Rows of a class that learners read at most.
+learner_rows = 250
+
+
+def bounded(df, by, rows=learner_rows):
+    """At most ``rows`` rows of each value of ``by`` in the order of a hash of id: ranked in shares first, so that a hot
+    value is not sorted in one task."""
+    from tallyloom.functions.rng import order_key
+
+    h = order_key("sample", F.col("id"))
+    w = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "id"))
+    some = df.withColumn("__h", h).withColumn("__s", F.substring("__h", 1, 2)).withColumn("__r", w(by, "__s")).where(F.col("__r") <= rows)
+    return staged(some.withColumn("__r", w(by)).where(F.col("__r") <= rows).drop("__h", "__s", "__r"), "sample")
+
+
+_PARTS = "x AS (SELECT doc_id AS id, lang, md5(text) AS grp, regexp_extract_all(text, '\\S+') AS w FROM documents WHERE text IS NOT NULL), y AS (SELECT id, lang, grp, list_transform([1, 2, 3, 4, 5], lambda k: array_to_string(w[((k - 1) * len(w) // 5 + 1):(k * len(w) // 5)], ' ')) AS p FROM x)"
+
+
+def cloze(spark, sf):
+    """Every document as a question: a fifth of its words is the stem, four fifths are options; the answer is the shortest
+    option, the first of equal ones. Copies of a text are a group."""
+    words = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "lang", F.md5("text").alias("group"), F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
+    n = F.size("w")
+    cut = lambda k: F.floor(F.lit(k) * n / 5).cast("int")
+    part = [F.array_join(F.slice("w", cut(k) + 1, cut(k + 1) - cut(k)), " ") for k in range(5)]
+    q = staged(words.select("id", "lang", "group", part[0].alias("stem"), F.array(*part[1:]).alias("options")), "cloze")
+    size = F.transform("options", F.length)
+    return q.withColumn("answer", F.substring(F.lit("ABCD"), F.array_position(size, F.array_min(size)).cast("int"), F.lit(1))).withColumn("answer_space", F.coalesce("lang", F.lit("none")))
+
+
+_TK = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:''[a-z]+)?')"
+
+
+@query(rf"""WITH {_PARTS}, t AS (SELECT id, coalesce(lang, 'none') AS space, p, {_TK.format('p[1]')} AS s FROM y), o AS (SELECT id, space, s, unnest(range(1, 5)) AS k, p FROM t),
+q AS (SELECT id, space, s, substr('ABCD', k::INT, 1) AS letter, p[k + 1] AS txt, {_TK.format('p[k + 1]')} AS w FROM o),
+g AS (SELECT id, letter, len(list_distinct(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])))) AS n, len(w) + greatest(len(w) - 1, 0) AS total, ln(1 + len(w)) + ln(1 + length(txt)) + CASE WHEN len(list_distinct(list_concat(s, w))) > 0 THEN len(list_intersect(list_distinct(s), list_distinct(w)))::DOUBLE / len(list_distinct(list_concat(s, w))) ELSE 0 END AS v FROM q),
+z AS (SELECT id, len(list_distinct(list_concat(s, list_transform(list_zip(s[:-2], s[2:]), lambda z: z[1] || '_' || z[2])))) + 1 AS n, len(s) + greatest(len(s) - 1, 0) + 1 AS total FROM t)
+SELECT z.id, (z.n + sum(g.n + 3))::BIGINT AS n_features, round(z.total + sum(g.total + g.v), 5) AS total FROM z JOIN g ON g.id = z.id GROUP BY z.id, z.n, z.total""")
+def question_features(spark, sf):
+    """How many named features each document's question has, and the sum of their values."""
+    f = learner.question_features(cloze(spark, sf))
+    return f.groupBy("id").agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("value"), 5).alias("total"))
+
+
+@query()
+def text_learner(spark, sf):
+    """The letter of a question from its words: scores of each C under ordinary and grouped folds, the C chosen, accuracy
+    on the half held out, and the largest coefficients of each letter. Parts that do not apply are null."""
+    q = cloze(spark, sf).where("answer IS NOT NULL").withColumn("half", F.when(u32("half", F.col("group")) % 2 == 0, "explore").otherwise("confirm"))
+    q = bounded(q.withColumn("cell", F.concat("half", "answer")), "cell").withColumn("label", learner.class_index(F.col("answer"), list("ABCD")))
+    explore, feats = q.where("half = 'explore'"), staged(learner.question_features(q), "features")
+    names = learner.dictionary(feats.join(explore.select("id"), "id", "left_semi"))
+    size = names.count()
+    dealt = learner.grouped_folds(learner.ordinary_folds(explore.select("id", "label", "group"), 5, "ordinary", out="ordinary"), 5, "grouped", out="grouped")
+    n = explore.count()
+    parts = max(1, min(8, n // 1000))
+    train = learner.vectors(staged(dealt, "dealt"), feats, names, size).repartition(parts, "id").cache()
+    scores = learner.fold_scores(train, ["ordinary", "grouped"], 5, max_iter=25)
+    chosen = {s: learner.best_c(v) for s, v in scores.items()}
+    model = learner.fit(train, chosen["grouped"], n, 100)
+    held = model.transform(learner.vectors(q.where("half = 'confirm'").select("id", "label"), feats, names, size))
+    right = staged(held.agg(F.lit("held_out").alias("part"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("value")), "held")
+    train.unpersist()
+    tuned = spark.createDataFrame([("tuning", s, c, c == chosen[s], v) for s, x in scores.items() for c, v in x.items()], "part string, scheme string, c double, chosen boolean, value double")
+    largest = learner.coefficients(model, names, list("ABCD")).select(F.lit("coefficient").alias("part"), "answer", "rank", "feature", F.col("coefficient").alias("value"))
+    out = tuned.unionByName(right, allowMissingColumns=True).unionByName(largest, allowMissingColumns=True)
+    return out.withColumn("value", r6("value"))

@@ -68,7 +68,7 @@ def permutation_map_back(spark, sf):
     return d.select("doc_id", op.mapped_back(letter("pred", F.col("doc_id"), options=5), perm).alias("mapped"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, {_T('text')} AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[2] END AS first_pair, len(w) + greatest(len(w) - 1, 0) AS n_grams FROM t""")
+@query(rf"""WITH t AS (SELECT doc_id, {_T('text')} AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, CASE WHEN len(w) > 1 THEN w[1] || '_' || w[2] END AS first_pair, len(w) + greatest(len(w) - 1, 0) AS n_grams FROM t""")
 def ngrams_uni_bi(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w")).withColumn("g", tx.grams(F.col("w")))
     return t.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.get("g", F.size("w")).alias("first_pair"), F.size("g").cast("long").alias("n_grams"))

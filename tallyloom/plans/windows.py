@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import order_key
+from tallyloom.operators.ranks import global_rank
 from tallyloom.plans.registry import EV, events, query, r6
 from tallyloom.sources.readers import table
 
@@ -73,18 +74,6 @@ def natural_id_sort(spark, sf):
     return global_rank(keyed, ["text", "num", "natural_id"], "position").select("natural_id", "position")
 
 
-def global_rank(df, order, out):
-    """Row numbers in a total order without moving all rows to one task: ranges are sorted apart, then shifted by what
-    lies before them."""
-    from tallyloom.sources.staging import staged
-
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    kept = staged(sorted_, "ranges")
-    sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return kept.join(F.broadcast(before.select("__part", "__first", "__before")), "__part").withColumn(out, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__before")
-
-
 @query("SELECT doc_id, n_chars, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS avg_rank FROM documents")
 def average_rank(spark, sf):
     from tallyloom.operators.stats import average_ranks
