@@ -32,7 +32,7 @@ COVERED = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Bytes of text in a chunk; a longer text is a chunk by itself.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 SALTS = 64
 #: Rows of an Arrow batch that goes back to Spark.
 BATCH = 1 << 16
