@@ -1,11 +1,11 @@
-"""Evidence inventories (schema ws-1): parsing, first violated rule, repair, atoms, renderings and coverage."""
+"""Evidence inventories (schema ws-1): parsing, first violated rule, repair and coverage."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.staging import staged
+from tallyloom.operators import json_schema
 
 _CROSS = "struct<status:string,uncertainty:string>"
 SCHEMA = (
@@ -31,50 +31,80 @@ ENUMS = {
     ).split(),
     "attribute": "color shape material size count length height distance text state other".split(),
 }
-FRAME = r"\A(?:image_plane:image_[1-9]\d*|camera:cam[1-9]\d*|entity:e[1-9]\d*|unknown)\z"
-LIMITS = {"entities": 8, "observations": 32, "identity_links": 8, "claims": 24, "unknowns": 8}
-RULES = "json schema camera_count camera_mapping duplicate_id image_range unresolved_ref cross_view image_id motion_endpoints note temporal_order".split()
-
-
-def body(text: Column) -> Column:
-    """The JSON of a bare object, or of exactly one fence around it; null with anything else around."""
-    t = F.trim(text)
-    fenced = F.nullif(F.regexp_extract(t, r"(?s)\A```(?:json)?\s*(\{.*\})\s*```\z", 1), F.lit(""))
-    return F.coalesce(fenced, F.when(t.startswith("{") & t.endswith("}"), t))
+RULES = "format json not_object schema camera_count camera_mapping duplicate_id image_range unresolved_ref cross_view image_id motion_endpoints note temporal_order".split()
+
+
+def _schema() -> dict:
+    """The JSON Schema of an inventory, from its fixed values: limits, patterns, enumerations, and what excludes what."""
+    ident = lambda prefix: {"type": "string", "pattern": rf"^{prefix}[1-9]\d*$"}
+    one_of = lambda name: {"type": "string", "enum": ENUMS[name]}
+    up_to = lambda n, *more: {"type": ["string", *more], "maxLength": n}
+    maybe = lambda x: {"anyOf": [{"type": "null"}, x]}
+    record = lambda **fields: {"type": "object", "additionalProperties": False, "required": list(fields), "properties": fields}
+    many = lambda n, x: {"type": "array", "items": x} | ({"maxItems": n} if n else {})
+    given = lambda field, test, **then: {"if": {"properties": {field: test}, "required": [field]}, "then": {"properties": then}}
+    null, image, entity, seen = {"type": "null"}, ident("image_"), ident("e"), ident("o")
+    node = {"type": "string", "pattern": r"^(?:e[1-9]\d*|cam[1-9]\d*)$"}
+    frame = {"type": "string", "pattern": r"^(?:image_plane:image_[1-9]\d*|camera:cam[1-9]\d*|entity:e[1-9]\d*|unknown)$"}
+    images = {"type": "array", "minItems": 1, "uniqueItems": True, "items": image}
+    order = record(status={"type": "string", "enum": ["supported", "unknown"]}, order=maybe(images), basis=up_to(160, "null"))
+    order["allOf"] = [given("status", {"const": "unknown"}, order=null, basis=null), given("status", {"const": "supported"}, order=images, basis=up_to(160))]
+    claim = record(
+        id=ident("c"), kind=one_of("kind"), subject=node, predicate={"type": "string"}, object=maybe(node), value=maybe(up_to(60)), frame=frame, image_id=maybe(image),
+        support={"type": "array", "minItems": 1, "items": seen}, uncertainty=one_of("uncertainty"), note=up_to(120, "null"),
+    )
+    claim["allOf"] = [given("kind", {"const": "relation"}, predicate=one_of("relation"), object=node, value=null), given("kind", {"const": "attribute"}, predicate=one_of("attribute"), object=null, value=up_to(60)), given("frame", {"pattern": "^image_plane:"}, image_id=image)]
+    claim["allOf"][2]["then"]["required"] = ["image_id"]
+    cross = record(status={"type": "string", "enum": ["same"]}, uncertainty=one_of("uncertainty"))
+    return record(
+        schema_version={"const": "ws-1"},
+        query_frame=record(frame=frame, basis=up_to(160, "null")),
+        temporal_order=order,
+        cameras=many(None, record(id=ident("cam"), image_id=image)),
+        entities=many(8, record(id=entity, type=one_of("type"), label=up_to(60), cross_view=maybe(cross))),
+        observations=many(32, record(id=seen, entity=node, image_id=image, where=one_of("where"), description=up_to(120))),
+        identity_links=many(8, record(id=ident("i"), entities={"type": "array", "minItems": 2, "maxItems": 2, "uniqueItems": True, "items": entity}, status=one_of("link"), uncertainty=one_of("uncertainty"))),
+        claims=many(24, claim),
+        unknowns=many(8, up_to(200)),
+    )
 
 
-def parsed(df: DataFrame, text: str = "text", out: str = "inv") -> DataFrame:
-    """``df`` with the inventory as a struct; null where the text is no JSON object."""
-    doc = body(F.col(text))
-    good = F.try_parse_json(doc).isNotNull()
-    return df.withColumn(out, F.when(good, F.from_json(doc, SCHEMA, {"mode": "PERMISSIVE"})))
+JSON_SCHEMA = _schema()
+_STRIP = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def _all(xs, test) -> Column:
-    return F.coalesce(F.forall(xs, test), F.lit(False))
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{_STRIP}", ""), rf"{_STRIP}\z", "")
 
 
-def _ids(name: str, prefix: str) -> Column:
-    return _all(F.col(f"inv.{name}"), lambda x: x["id"].rlike(rf"\A{prefix}[1-9]\d*\z"))
+def body(text: Column) -> Column:
+    """What may be JSON in a response: the whole text, or what one fence around it holds; null with anything else around."""
+    t = F.regexp_replace(_stripped(text), r"\A\ufeff+", "")
+    inner = F.regexp_extract(t, r"(?s)\A```[^\n`]*\n(.*?)\n?```\z", 1)
+    fenced = F.when(t.rlike(r"(?s)\A```[^\n`]*\n.*```\z") & ~inner.rlike(r"(?m)^```"), _stripped(inner))
+    bare = F.when(t.rlike(r"\A[{\[\"\-\p{Nd}]") | t.isin("null", "true", "false"), t)
+    return F.when(t.startswith("```"), fenced).otherwise(bare)
 
 
-def schema_ok() -> Column:
-    e, o, k, c = (F.col(f"inv.{x}") for x in ("entities", "observations", "identity_links", "claims"))
-    t = F.col("inv.temporal_order")
-    fits = lambda x, n: x.isNotNull() & (F.length(x) <= n)
-    ok = (F.col("inv.schema_version") == "ws-1") & F.col("inv.query_frame.frame").rlike(FRAME)
-    ok &= F.when(t["status"] == "unknown", t["order"].isNull() & t["basis"].isNull()).when(t["status"] == "supported", (F.size(t["order"]) > 0) & fits(t["basis"], 160)).otherwise(False)
-    for name, n in LIMITS.items():
-        ok &= F.size(F.col(f"inv.{name}")) <= n
-    for name, p in (("cameras", "cam"), ("entities", "e"), ("observations", "o"), ("identity_links", "i"), ("claims", "c")):
-        ok &= _ids(name, p)
-    ok &= _all(e, lambda x: x["type"].isin(ENUMS["type"]) & fits(x["label"], 60) & (x["cross_view"].isNull() | ((x["cross_view"]["status"] == "same") & x["cross_view"]["uncertainty"].isin(ENUMS["uncertainty"]))))
-    ok &= _all(o, lambda x: x["where"].isin(ENUMS["where"]) & fits(x["description"], 120) & x["entity"].rlike(r"\A(?:e|cam)[1-9]\d*\z"))
-    ok &= _all(k, lambda x: x["status"].isin(ENUMS["link"]) & x["uncertainty"].isin(ENUMS["uncertainty"]) & (F.size(F.array_distinct(x["entities"])) == 2) & (F.size(x["entities"]) == 2))
-    relation = lambda x: (x["kind"] == "relation") & x["predicate"].isin(ENUMS["relation"]) & x["object"].isNotNull() & x["value"].isNull()
-    attribute = lambda x: (x["kind"] == "attribute") & x["predicate"].isin(ENUMS["attribute"]) & x["object"].isNull() & fits(x["value"], 60)
-    ok &= _all(c, lambda x: (relation(x) | attribute(x)) & x["frame"].rlike(FRAME) & (F.size(x["support"]) > 0) & x["uncertainty"].isin(ENUMS["uncertainty"]) & (x["image_id"].isNotNull() | ~x["frame"].startswith("image_plane:")))
-    return F.coalesce(ok, F.lit(False))
+def parsed(df: DataFrame, text: str = "text", out: str = "inv") -> DataFrame:
+    """``df`` with the inventory as a struct, null where the text is no JSON object, and ``{out}_error``: the rule that
+    the text or the schema breaks (format, json, not_object, schema), with path and keyword for the schema.
+
+    A value with more text after it breaks ``format``. The parser reads a value and leaves what follows, so a whole
+    text is one that still is a value inside brackets, and inside braces.
+    """
+    doc = df.withColumn("__body", body(F.col(text)))
+    doc = doc.withColumn("__v", F.try_parse_json("__body"))
+    one = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col("__body"), F.lit("]"))), "$", "array<variant>")) == 1
+    own = F.map_keys(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"k":'), F.col("__body"), F.lit("}"))), "$", "map<string,variant>"))
+    whole = F.coalesce(one & (F.size(own) == 1) & (F.get(own, F.lit(0)) == "k"), F.lit(False))
+    token = F.when(F.col("__body").isNull(), "format").when(F.col("__v").isNull(), "json").when(~whole, "format").when(json_schema.kind(F.col("__v")) != "object", "not_object")
+    # A generator keeps the optimizer from computing the checks again wherever they are used.
+    checked = doc.select("*", F.explode(F.array(F.struct(token.alias("token"), json_schema.first_violation(JSON_SCHEMA, F.col("__v")).alias("first")))).alias("__c"))
+    rule = F.coalesce("__c.token", F.when(F.col("__c.first").isNotNull(), "schema"))
+    error = F.when(rule.isNotNull(), F.struct(rule.alias("rule"), F.when(rule == "schema", F.col("__c.first.path")).alias("path"), F.when(rule == "schema", F.col("__c.first.keyword")).alias("keyword")))
+    made = F.when(F.col("__c.token").isNull(), F.from_json("__body", SCHEMA, {"mode": "PERMISSIVE"}))
+    return checked.withColumn(out, made).withColumn(f"{out}_error", error).drop("__body", "__v", "__c")
 
 
 def _images_of(entity: Column) -> Column:
@@ -83,7 +113,7 @@ def _images_of(entity: Column) -> Column:
 
 
 def first_error(n_images: str = "n_images") -> Column:
-    """The first rule, in their fixed order, that the inventory breaks; null if none. Needs the column ``inv``."""
+    """The first rule, in their fixed order, that the inventory breaks; null if none. Needs the columns of ``parsed``."""
     n = F.col(n_images)
     cams, ents, obs, links, claims = (F.col(f"inv.{x}") for x in ("cameras", "entities", "observations", "identity_links", "claims"))
     allowed = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("image_"), i))
@@ -105,8 +135,6 @@ def first_error(n_images: str = "n_images") -> Column:
     order = F.col("inv.temporal_order.order")
     moves = lambda c: c["predicate"].startswith("camera_")
     tests = [
-        ("json", F.col("inv").isNull()),
-        ("schema", ~schema_ok()),
         ("camera_count", F.size(cams) != n),
         ("camera_mapping", F.exists(F.transform(cams, lambda c, i: (c["id"] != F.concat(F.lit("cam"), i + 1)) | (c["image_id"] != F.concat(F.lit("image_"), i + 1))), lambda x: x)),
         ("duplicate_id", twice),
@@ -118,7 +146,7 @@ def first_error(n_images: str = "n_images") -> Column:
         ("note", F.exists(claims, lambda c: (c["predicate"] == "other") & c["note"].isNull())),
         ("temporal_order", (F.col("inv.temporal_order.status") == "supported") & (F.array_sort(order) != F.array_sort(allowed))),
     ]
-    return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in tests])
+    return F.coalesce(F.col("inv_error.rule"), *[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in tests])
 
 
 def repaired() -> Column:
@@ -127,57 +155,6 @@ def repaired() -> Column:
     return F.transform(F.col("inv.entities"), lambda e: F.when(e["cross_view"].isNull() & (_images_of(e["id"]) >= 2), e.withField("cross_view", same)).otherwise(e))
 
 
-def _quoted(x: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
-
-
-def atoms(df: DataFrame) -> DataFrame:
-    """One row per fact: kind, atom id, ordinal and sentence; ``df`` has ``id`` and ``inv``."""
-    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
-    atom = lambda rank, kind, ident, text: F.struct(F.lit(rank).alias("kind_rank"), F.lit(kind).alias("kind"), ident.alias("atom_id"), text.alias("text"))
-    q, t = F.col("inv.query_frame"), F.col("inv.temporal_order")
-    heads = F.array(
-        atom(0, "query_frame", F.lit("query_frame"), j("Query frame: ", q["frame"], F.when(q["basis"].isNull(), ".").otherwise(j(" (basis: ", q["basis"], ").")))),
-        atom(1, "temporal_order", F.lit("temporal_order"), F.when(t["status"] == "unknown", "Temporal order: unknown.").otherwise(j("Temporal order: ", F.array_join(t["order"], ", "), " (basis: ", t["basis"], ")."))),
-    )
-    entity = lambda e: j(e["id"], " is ", F.when(e["type"] == "object", "an object").otherwise(j("a ", e["type"])), " labeled ", _quoted(e["label"]), F.when(e["cross_view"].isNull(), ".").otherwise(j("; it is the same entity across views (uncertainty ", e["cross_view"]["uncertainty"], ").")))
-
-    def claim(c: Column) -> Column:
-        action = F.when(c["kind"] == "relation", j(c["subject"], " is ", c["predicate"], " ", c["object"])).otherwise(j("attribute ", c["predicate"], " of ", c["subject"], " is ", _quoted(c["value"])))
-        lead = F.when(c["image_id"].isNotNull(), j("In frame ", c["frame"], ", for ", c["image_id"], ", ", action, ".")).when(c["frame"] == "unknown", j("Across views, ", action, ".")).otherwise(j("Across views, in frame ", c["frame"], ", ", action, "."))
-        return j(lead, " Support: ", F.array_join(c["support"], ", "), ". Uncertainty: ", c["uncertainty"], ".", F.when(c["note"].isNotNull(), j(" Note: ", _quoted(c["note"]), ".")).otherwise(""))
-
-    parts = [
-        heads,
-        F.transform(F.col("inv.cameras"), lambda c: atom(2, "camera", c["id"], j("Camera ", c["id"], " took ", c["image_id"], "."))),
-        F.transform(F.col("inv.entities"), lambda e: atom(3, "entity", e["id"], entity(e))),
-        F.transform(F.col("inv.observations"), lambda o: atom(4, "observation", o["id"], j("In ", o["image_id"], " (", o["where"], "), ", o["entity"], " is observed: ", _quoted(o["description"]), "."))),
-        F.transform(F.col("inv.identity_links"), lambda k: atom(5, "identity_link", k["id"], j("Identity link between ", F.get(k["entities"], F.lit(0)), " and ", F.get(k["entities"], F.lit(1)), " is ", k["status"], " (uncertainty ", k["uncertainty"], ")."))),
-        F.transform(F.col("inv.claims"), lambda c: atom(6, "claim", c["id"], claim(c))),
-        F.transform(F.col("inv.unknowns"), lambda u, i: atom(7, "unknown", j("u", i + 1), j("Unknown: ", u, "."))),
-    ]
-    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("a.atom_id", r"(\d+)\z", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
-    return df.select("id", F.explode(F.concat(*parts)).alias("a")).select("id", "a.*", number.alias("ordinal"))
-
-
-def flat(atom_rows: DataFrame) -> DataFrame:
-    """One text per inventory: its atoms in audit order, a line each."""
-    line = F.concat(F.lit("["), F.col("atom_id"), F.lit("] "), F.col("text"))
-    rows = F.sort_array(F.collect_list(F.struct("kind_rank", "ordinal", "atom_id", line.alias("line"))))
-    return atom_rows.groupBy("id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("flat"))
-
-
-def graph_text(df: DataFrame) -> DataFrame:
-    """One text per inventory as nodes, links and edges, edges grouped by frame."""
-    node = F.transform(F.col("inv.entities"), lambda e: F.concat(F.lit("node "), e["id"], F.lit(" ["), e["type"], F.lit("] "), _quoted(e["label"])))
-    link = F.transform(F.col("inv.identity_links"), lambda k: F.concat(F.lit("link "), F.array_join(k["entities"], " - "), F.lit(" "), k["status"]))
-    edge = F.transform(
-        F.array_sort(F.transform(F.col("inv.claims"), lambda c: F.struct(c["frame"].alias("f"), c["id"].alias("i"), F.concat(F.lit("edge ["), c["frame"], F.lit("] "), c["subject"], F.lit(" "), c["predicate"], F.lit(" "), F.coalesce(c["object"], _quoted(c["value"]))).alias("t")))),
-        lambda s: s["t"],
-    )
-    return df.select("id", F.array_join(F.concat(node, link, edge), "\n").alias("graph"))
-
-
 def coverage(df: DataFrame) -> DataFrame:
     """Counts and flags of each inventory; a missing one has nulls, not zeros."""
     size = lambda x: F.when(F.col("inv").isNotNull(), F.size(F.col(f"inv.{x}")).cast("long"))
@@ -187,26 +164,3 @@ def coverage(df: DataFrame) -> DataFrame:
         F.exists(F.col("inv.entities"), lambda e: e["cross_view"].isNotNull()).alias("has_cross_view"),
         (F.col("inv.temporal_order.status") == "supported").alias("has_order"),
     )
-
-
-#: How each kind's sentence begins or reads; lines of a flat rendering are told apart by them.
-_KINDS = {
-    "query_frame": r"\AQuery frame: ", "temporal_order": r"\ATemporal order: ", "camera": r"\ACamera cam\d+ took ", "entity": r"\Ae\d+ is an? \w+ labeled ", "observation": r"\AIn image_\d+ \(\w+\), ",
-    "identity_link": r"\AIdentity link between ", "claim": r"\A(?:Across views|In frame )", "unknown": r"\AUnknown: ",
-}
-
-
-def parse_flat(rendered: DataFrame) -> DataFrame:
-    """Atoms (id, kind, atom_id, text) read back from flat renderings; a line that fits no kind has a null kind."""
-    line = rendered.select("id", F.explode(F.split("flat", "\n")).alias("line"))
-    line = line.select("id", F.regexp_extract("line", r"\A\[([^\]]+)\] ", 1).alias("atom_id"), F.regexp_replace("line", r"\A\[[^\]]+\] ", "").alias("text"))
-    kind = F.coalesce(*[F.when(F.col("text").rlike(p), k) for k, p in _KINDS.items()])
-    return line.select("id", kind.alias("kind"), "atom_id", "text")
-
-
-def equivalence(inventories: DataFrame) -> DataFrame:
-    """Per side, how many atoms are lost or made up by rendering and parsing again: 0 and 0 if nothing is."""
-    made = staged(atoms(inventories), "atoms")
-    a, b = made.select("id", "kind", "atom_id", "text"), parse_flat(flat(made))
-    lost, extra = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("n"))
-    return lost.select(F.lit("lost").alias("side"), "n").unionByName(extra.select(F.lit("extra").alias("side"), "n"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import u32
-from tallyloom.operators import evidence, graph, sampling, state
+from tallyloom.operators import evidence, graph, renderings, sampling, state
+from tallyloom.operators.evidence import ENUMS
 from tallyloom.operators.similarity import threshold_pairs
 from tallyloom.plans.registry import EV, U, events, query, r6
 from tallyloom.sources.readers import table
+from tallyloom.sources.staging import staged
 from tallyloom.streaming import windows as stream
 
 
@@ -103,7 +105,7 @@ def inventories() -> list[tuple[int, str, int, str | None]]:
     ]
     out = [(i, json.dumps(x), 3, rule) for i, (x, rule) in enumerate(cases, 1)]
     n = len(out)
-    return [*out, (n + 1, "```json\n" + json.dumps(d) + "\n```", 3, None), (n + 2, json.dumps(d)[:-9], 3, "json"), (n + 3, "See: " + json.dumps(d), 3, "json")]
+    return [*out, (n + 1, "```json\n" + json.dumps(d) + "\n```", 3, None), (n + 2, json.dumps(d)[:-9], 3, "json"), (n + 3, "See: " + json.dumps(d), 3, "format")]
 
 
 _INV = inventories()
@@ -135,15 +137,124 @@ def coverage_from_json(spark, sf):
     return evidence.coverage(_good(spark, sf))
 
 
-@query(f"""WITH {_WELL} SELECT id, 'observation' AS kind, o->>'id' AS atom_id, 'In ' || (o->>'image_id') || ' (' || (o->>'where') || '), ' || (o->>'entity') || ' is observed: "' || (o->>'description') || '".' AS text FROM (SELECT id, unnest(json_extract(j, '$.observations[*]')) AS o FROM d)
-UNION ALL SELECT id, 'camera', c->>'id', 'Camera ' || (c->>'id') || ' took ' || (c->>'image_id') || '.' FROM (SELECT id, unnest(json_extract(j, '$.cameras[*]')) AS c FROM d)""")
+_J = "json_extract_string({0}, '$.{1}')"
+
+
+def _atom_sql() -> str:
+    """The sentences of all eight kinds from the JSON of the inventories."""
+    g = lambda x, k: f"({x}->>'{k}')"
+    q = lambda x: f"to_json({x})::VARCHAR"
+    each = lambda name, kind, text: f"SELECT id, '{kind}' AS kind, x->>'id' AS atom_id, {text} AS text FROM (SELECT id, unnest(json_extract(j, '$.{name}[*]')) AS x FROM d)"
+    basis = "coalesce(' (basis: ' || json_extract_string(j, '$.{0}.basis') || ')', '')"
+    claim = (
+        f"CASE WHEN {g('x', 'image_id')} IS NOT NULL THEN 'In frame ' || {g('x', 'frame')} || ', for ' || {g('x', 'image_id')} || ', ' WHEN {g('x', 'frame')} = 'unknown' THEN 'Across views, ' ELSE 'Across views, in frame ' || {g('x', 'frame')} || ', ' END"
+        f" || CASE WHEN {g('x', 'kind')} = 'relation' THEN {g('x', 'subject')} || ' is ' || {g('x', 'predicate')} || ' ' || {g('x', 'object')} ELSE 'attribute ' || {g('x', 'predicate')} || ' of ' || {g('x', 'subject')} || ' is ' || {q(g('x', 'value'))} END"
+        f" || '. Support: ' || array_to_string((x->'support')::VARCHAR[], ', ') || '. Uncertainty: ' || {g('x', 'uncertainty')} || '.' || coalesce(' Note: ' || {q(g('x', 'note'))} || '.', '')"
+    )
+    return " UNION ALL ".join([
+        f"SELECT id, 'query_frame' AS kind, 'query_frame' AS atom_id, 'Query frame: ' || json_extract_string(j, '$.query_frame.frame') || {basis.format('query_frame')} || '.' AS text FROM d",
+        f"SELECT id, 'temporal_order', 'temporal_order', 'Temporal order: ' || coalesce(array_to_string(nullif(json_extract(j, '$.temporal_order.order'), 'null'::JSON)::VARCHAR[], ', '), 'unknown') || {basis.format('temporal_order')} || '.' FROM d",
+        each("cameras", "camera", f"'Camera ' || {g('x', 'id')} || ' took ' || {g('x', 'image_id')} || '.'"),
+        each("entities", "entity", f"{g('x', 'id')} || CASE WHEN {g('x', 'type')} = 'object' THEN ' is an object' ELSE ' is a ' || {g('x', 'type')} END || ' labeled ' || {q(g('x', 'label'))} || coalesce('; it is the same entity across views (uncertainty ' || json_extract_string(x, '$.cross_view.uncertainty') || ')', '') || '.'"),
+        each("observations", "observation", f"'In ' || {g('x', 'image_id')} || ' (' || {g('x', 'where')} || '), ' || {g('x', 'entity')} || ' is observed: ' || {q(g('x', 'description'))} || '.'"),
+        each("identity_links", "identity_link", f"'Identity link between ' || json_extract_string(x, '$.entities[0]') || ' and ' || json_extract_string(x, '$.entities[1]') || ' is ' || {g('x', 'status')} || ' (uncertainty ' || {g('x', 'uncertainty')} || ').'"),
+        each("claims", "claim", claim),
+        "SELECT id, 'unknown', 'u' || k, 'Unknown: ' || (u->>'$') || '.' FROM (SELECT id, unnest(json_extract(j, '$.unknowns[*]')) AS u, generate_subscripts(json_extract(j, '$.unknowns[*]'), 1) AS k FROM d)",
+    ])
+
+
+def _facts(df):
+    return renderings.with_facts(df).select("id", "facts")
+
+
+@query(f"WITH {_WELL} {_atom_sql()}")
 def inventory_atoms(spark, sf):
-    return evidence.atoms(_good(spark, sf)).where("kind IN ('observation', 'camera')").select("id", "kind", "atom_id", "text")
+    f = _facts(_good(spark, sf)).select("id", F.explode("facts").alias("f"))
+    return f.select("id", "f.kind", "f.atom_id", renderings.sentence(F.col("f")).alias("text"))
 
 
 @query()
 def flat_render(spark, sf):
-    return evidence.flat(evidence.atoms(_good(spark, sf))).join(evidence.graph_text(_good(spark, sf)), "id")
+    return renderings.round_trips(_facts(_good(spark, sf))).select("id", "flat", "graph")
+
+
+#: Texts that a rendering has to quote, or that look like its own marks.
+HOSTILE = ["", '"', "\\", ")", " | ", "\n", "\t", '. Note: "x".', " Support: o1. ", "\x01", "; it is the same entity across views (uncertainty low).", "\u2028", "{}", ": none", "  ", "Unknowns:"]
+
+
+def drawn_inventories(spark, sf):
+    """An inventory made from each document's own text and hashes of its id: (id, text, n_images). Labels and notes begin
+    with hostile pieces and go on with pieces of the document."""
+    i = F.col("doc_id")
+    h = lambda n, *parts: u32(*parts, i) % n
+    pick = lambda xs, *parts: F.element_at(F.array(*map(F.lit, xs)), (h(len(xs), *parts) + 1).cast("int"))
+    piece = lambda limit, *parts: F.substring(F.concat(pick(HOSTILE, "mark", *parts), F.substring("t", (h(1_000_000, "at", *parts) % F.greatest(F.length("t"), F.lit(1)) + 1).cast("int"), F.lit(limit // 2)), pick(HOSTILE, "end", *parts)), 1, limit)
+    level = lambda *parts: pick(ENUMS["uncertainty"], "level", *parts)
+    null = F.lit(None).cast("string")
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), (2 + u32("images", i) % 2).cast("int").alias("n_images"), (1 + u32("entities", i) % 4).cast("int").alias("n"))
+    count = lambda e: (1 + h(1_000, "seen", e) % F.col("n_images")).cast("int")
+    named = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    each = F.sequence(F.lit(1), F.col("n"))
+    entity = lambda e: F.struct(named("e", e).alias("id"), F.when(e == 1, "object").otherwise(pick(ENUMS["type"], "type", e)).alias("type"), piece(60, "label", e).alias("label"), F.when(count(e) > 1, F.struct(F.lit("same").alias("status"), level("cross", e).alias("uncertainty"))).alias("cross_view"))
+    seen = lambda e: F.transform(F.sequence(F.lit(1), count(e)), lambda k: F.struct(named("o", (e - 1) * 3 + k).alias("id"), named("e", e).alias("entity"), named("image_", k).alias("image_id"), pick(ENUMS["where"], "where", e, k).alias("where"), piece(120, "seen", e, k).alias("description")))
+
+    def claim(e):
+        relation = (h(2, "kind", e) == 0) & (F.col("n") > 1)
+        frame = pick(["unknown", "image_plane:image_1", "camera:cam1", "entity:e1"], "frame", e)
+        return F.struct(
+            named("c", e).alias("id"), F.when(relation, "relation").otherwise("attribute").alias("kind"), named("e", e).alias("subject"), F.when(relation, pick(["left_of", "behind", "near", "on"], "rel", e)).otherwise(pick(["color", "state", "text"], "attr", e)).alias("predicate"),
+            F.when(relation, named("e", e % F.col("n") + 1)).alias("object"), F.when(~relation, piece(60, "value", e)).alias("value"), frame.alias("frame"), F.when(frame.startswith("image_plane"), "image_1").otherwise(null).alias("image_id"),
+            F.array(named("o", (e - 1) * 3 + 1)).alias("support"), level("claim", e).alias("uncertainty"), F.when(h(3, "noted", e) == 0, piece(120, "note", e)).alias("note"),
+        )
+
+    ordered = h(2, "ordered") == 0
+    images = F.transform(F.sequence(F.lit(1), F.col("n_images")), lambda k: named("image_", k))
+    doc = F.struct(
+        F.lit("ws-1").alias("schema_version"),
+        F.struct(pick(["unknown", "camera:cam1", "entity:e1"], "asked").alias("frame"), F.when(h(2, "based") == 0, piece(160, "basis")).alias("basis")).alias("query_frame"),
+        F.struct(F.when(ordered, "supported").otherwise("unknown").alias("status"), F.when(ordered, images).alias("order"), F.when(ordered, piece(160, "time")).alias("basis")).alias("temporal_order"),
+        F.transform(F.sequence(F.lit(1), F.col("n_images")), lambda k: F.struct(named("cam", k).alias("id"), named("image_", k).alias("image_id"))).alias("cameras"),
+        F.transform(each, entity).alias("entities"),
+        F.flatten(F.transform(each, seen)).alias("observations"),
+        F.when((F.col("n") > 1) & (h(2, "linked") == 0), F.array(F.struct(F.lit("i1").alias("id"), F.array(F.lit("e1"), F.lit("e2")).alias("entities"), pick(ENUMS["link"], "link").alias("status"), level("link").alias("uncertainty")))).otherwise(F.array()).alias("identity_links"),
+        F.transform(each, claim).alias("claims"),
+        F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), h(3, "unknowns").cast("int")), lambda k: piece(200, "unknown", k)).alias("unknowns"),
+    )
+    # Stored: what reads the text would write out its making wherever it stands.
+    return staged(d.select(i.alias("id"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("text"), "n_images"), "inventories")
+
+
+@query()
+def inventory_renderings(spark, sf):
+    """Both renderings of an inventory drawn from every document, and what reading them back loses or makes up."""
+    df = evidence.parsed(drawn_inventories(spark, sf)).where(evidence.first_error().isNull())
+    r = renderings.round_trips(_facts(df))
+    return r.select("id", F.size("facts").cast("long").alias("n_facts"), "flat_lost", "flat_extra", "graph_lost", "graph_extra", F.sha2("flat", 256).alias("flat_sha256"), F.sha2("graph", 256).alias("graph_sha256"))
+
+
+#: What is changed in an inventory, and the first error that follows: (from, to, rule, path, keyword).
+DAMAGE = [
+    ("", "", None, None, None), ('"schema_version":"ws-1"', '"schema_version":"ws-0"', "schema", "schema_version", "const"), ('"id":"e1","type":"object"', '"id":"e1","type":"thing"', "schema", "entities/0/type", "enum"),
+    ('"id":"cam1"', '"id":"cam01"', "schema", "cameras/0/id", "pattern"), ('"unknowns":[', '"unknowns":[7', "schema", "unknowns/0", "type"), ('{"schema_version"', '{"extra":1,"schema_version"', "schema", "(root)", "additionalProperties"),
+    ('"cameras":', '"cams":', "schema", "(root)", "additionalProperties"), ('"id":"o1","entity":"e1"', '"id":"o1","entity":null', "schema", "observations/0/entity", "type"), ('{"schema_version"', 'Answer: {"schema_version"', "format", None, None),
+    ('{"schema_version":', '{"schema_version"', "json", None, None), ('{"schema_version"', '[{"schema_version"', "not_object", None, None), ('"support":["o1"]', '"support":[]', "schema", "claims/0/support", "minItems"),
+    ('{"schema_version"', '\ufeff{"schema_version"', None, None, None), ('"schema_version":"ws-1",', "", "schema", "(root)", "required"),
+]
+
+
+@query("SELECT doc_id AS id, rule, path, keyword FROM documents JOIN (VALUES " + ", ".join("(" + ", ".join([str(k), *["NULL" if x is None else f"'{x}'" for x in row[2:]]]) + ")" for k, row in enumerate(DAMAGE)) + f") t(k, rule, path, keyword) ON k = {U("'damage|' || doc_id")} % {len(DAMAGE)}")
+def inventory_schema_errors(spark, sf):
+    """The first error of drawn inventories after damage, with path and keyword where the schema is broken."""
+    d = drawn_inventories(spark, sf)
+    k = u32("damage", F.col("id")) % len(DAMAGE)
+    text = F.col("text")
+    for n, (old, new, rule, _, _) in enumerate(DAMAGE):
+        if old:
+            fixed = F.replace("text", F.lit(old), F.lit(new))
+            fixed = F.concat(fixed, F.lit("]")) if rule == "not_object" else F.regexp_replace(fixed, r'"unknowns":\[7(?!\])', '"unknowns":[7,') if "[7" in new else fixed
+            text = F.when(k == n, fixed) if n == 1 else text.when(k == n, fixed)
+    out = evidence.parsed(staged(d.withColumn("text", text.otherwise(F.col("text"))), "damaged"))
+    return out.select("id", evidence.first_error().alias("rule"), "inv_error.path", "inv_error.keyword")
 
 
 _CUR = "cur AS (SELECT user_id AS reviewer, user_id % 10 AS item, min(value) AS seconds, min(event_type) AS answer, min(event_id) AS created FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2), inc AS (SELECT user_id AS reviewer, user_id % 10 AS item, max(value) AS seconds, max(event_type) AS answer, max(event_id) AS created FROM events WHERE event_type <> 'click' GROUP BY 1, 2)"
@@ -209,9 +320,11 @@ def tumbling_windows_stream(spark, sf):
     return stream.run_to_end(spark, f"{sf}/events.parquet", "6 hours")
 
 
-@query("SELECT * FROM (VALUES ('lost', 0::BIGINT), ('extra', 0::BIGINT)) t(side, n)")
+@query(f"WITH {_WELL}, a AS ({_atom_sql()}) SELECT 'facts' AS side, count(*) AS n FROM a UNION ALL SELECT 'lost', 0 UNION ALL SELECT 'extra', 0")
 def flat_equivalence(spark, sf):
-    return evidence.equivalence(_good(spark, sf))
+    """Facts of the dealt inventories, and how many reading the flat rendering back loses or makes up, by fields."""
+    r = renderings.round_trips(_facts(_good(spark, sf))).agg(F.sum(F.size("facts")).alias("facts"), F.sum("flat_lost").alias("lost"), F.sum("flat_extra").alias("extra"))
+    return r.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("n")) for s in ("facts", "lost", "extra")])).alias("x")).select("x.*")
 
 
 @query("""WITH x AS (SELECT d.doc_id AS expected, l.doc_id AS found, l.quality, count(*) OVER (PARTITION BY l.doc_id) AS n FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import options as op, rng, text as tx
-from tallyloom.operators import evidence, graph, sampling, scoring, similarity, spine, state, stats
+from tallyloom.operators import renderings, evidence, graph, sampling, scoring, similarity, spine, state, stats
 from tallyloom.sources import readers, sinks
 
 
@@ -155,8 +155,8 @@ def test_evidence_repair_and_render(spark):
     df = evidence.parsed(spark.createDataFrame([x[:3] for x in inventories()], "id int, text string, n_images int"))
     fixed = {x["id"]: x["e"][0]["cross_view"] for x in df.where("id IN (1, 13)").select("id", evidence.repaired().alias("e")).collect()}
     assert fixed[13]["uncertainty"] == "medium" and fixed[1] is not None
-    flat = evidence.flat(evidence.atoms(df.where("id = 1"))).first()["flat"].split("\n")
-    assert flat[0] == "[query_frame] Query frame: camera:cam3 (basis: asked from the stove)." and flat[-1] == "[u1] Unknown: whether the stove is on."
+    flat = renderings.with_facts(df.where("id = 1")).select(renderings.flat(F.col("facts"))).first()[0].split("\n")
+    assert flat[1] == "Query frame: camera:cam3 (basis: asked from the stove)." and flat[-2:] == ["[u1] Unknown: whether the stove is on.", ""]
     assert '[e4] e4 is an object labeled "steel kettle"; it is the same entity across views (uncertainty low).' in flat
     assert evidence.coverage(df.where("id = 15")).first()["n_entities"] is None
 
