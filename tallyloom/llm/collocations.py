@@ -108,6 +108,8 @@ def chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
                 counts.append(n)
                 base += len(own)
             made += 1
+            del codes, own, n
+            pa.default_memory_pool().release_unused()
             each = lambda arrays: pa.ListArray.from_arrays(pa.array([0, base], pa.int32()), pa.concat_arrays(arrays))
             return pa.RecordBatch.from_pydict(
                 {
@@ -165,6 +167,7 @@ def _pairs(coded: DataFrame, replies: list[DataFrame]) -> DataFrame:
             names[idx[level == k]] = name[level == k]
             codes, left, right, n = pair_up(codes, names, index=k + 1 < levels)
             known = len(n)
+        pa.default_memory_pool().release_unused()
         columns = [np.full(known, chunk["chunk"][0].as_py()), np.arange(known), left, right, n]
         whole = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=shape)
         return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH), shape)
