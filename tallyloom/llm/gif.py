@@ -235,10 +235,17 @@ def _check_area(area: int, stored: int, limit: int) -> None:
 
 
 def decode(data: bytes, compose: bool = True, limit: int = MAX_SAMPLES) -> list[Frame]:
-    """Frames of a GIF in order; what is no GIF raises ValueError, a cut file gives the frames it has.
+    """All frames of a GIF at once: more than ``limit`` samples over all composed frames raise ValueError before memory
+    is taken. Else as ``decoded``."""
+    return list(decoded(data, compose, limit))
 
-    A canvas or a frame that is larger than the stored bytes can fill, and more than ``limit`` samples over all
-    composed frames, raise ValueError before memory is taken.
+
+def decoded(data: bytes, compose: bool = True, limit: int | None = None) -> Iterator[Frame]:
+    """Frames of a GIF in order, one at a time; what is no GIF raises ValueError, a cut file gives the frames it has.
+
+    A canvas or a frame that is larger than the stored bytes can fill, or than ``MAX_SAMPLES``, raises ValueError
+    before memory is taken, and so do more than ``limit`` samples over the composed frames where it is given. Without,
+    a caller that lets go of frames holds one of them, however many a file has.
 
     Disposal 2 clears a frame's area to transparent before the next one, disposal 3 restores what was there before;
     transparent indices leave the canvas as it is. A frame without any palette is drawn in greys.
@@ -247,11 +254,11 @@ def decode(data: bytes, compose: bool = True, limit: int = MAX_SAMPLES) -> list[
         raise ValueError("not a GIF")
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
     at, shared = 13, None
-    _check_area(wide * high, len(data), limit)
+    _check_area(wide * high, len(data), MAX_SAMPLES if limit is None else limit)
     if flags & 128:
         shared, at = _palette(data, at, flags)
     canvas = np.zeros((high, wide, 4), np.uint8) if compose else None
-    frames: list[Frame] = []
+    made = 0
     clock, delay, disposal, transparent = 0, 0, 0, None
     while at < len(data):
         kind = data[at]
@@ -272,8 +279,8 @@ def decode(data: bytes, compose: bool = True, limit: int = MAX_SAMPLES) -> list[
                 palette, at = _palette(data, at, local)
             bits = data[at] if at < len(data) else 8
             stream, at = _sub_blocks(data, at + 1)
-            _check_area(w * h, len(stream), limit)
-            if compose and (len(frames) + 1) * wide * high > limit:
+            _check_area(w * h, len(stream), MAX_SAMPLES if limit is None else limit)
+            if compose and limit is not None and (made + 1) * wide * high > limit:
                 raise ValueError("the composed frames are too large")
             indices = lzw_decode(stream, bits, w * h) if 1 <= bits <= 8 else bytes(w * h)
             if local & 64:
@@ -282,12 +289,12 @@ def decode(data: bytes, compose: bool = True, limit: int = MAX_SAMPLES) -> list[
             f = Frame(clock, delay, left, top, w, h, indices, colours, transparent, disposal)
             if compose:
                 f.pixels, canvas = _drawn(canvas, f)
-            frames.append(f)
+            made += 1
+            yield f
             clock += delay
             delay, disposal, transparent = 0, 0, None
         elif kind:
             break
-    return frames
 
 
 def _drawn(canvas: np.ndarray, f: Frame) -> tuple[np.ndarray, np.ndarray]:
@@ -348,11 +355,16 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def stored_row(text: str | None) -> tuple:
     n, payload = payload_of(text)
     media = encode_samples(payload)
-    got = decode(media)
-    back = b"".join(f.indices for f in got)
-    colours = sum(histogram(f.pixels) for f in got)
-    feature = f"frames={len(got)};duration_cs={sum(f.delay_cs for f in got)};colours=" + ",".join(map(str, colours.tolist()))
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    back, size, tail, made, lasts, colours = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, np.int64)
+    for f in decoded(media):
+        back.update(f.indices)
+        size += len(f.indices)
+        tail = (tail + f.indices[-16:])[-16:]
+        made += 1
+        lasts += f.delay_cs
+        colours += histogram(f.pixels)
+    feature = f"frames={made};duration_cs={lasts};colours=" + ",".join(map(str, colours.tolist()))
+    return n, size, back.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 @F.pandas_udf(struct_of("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))

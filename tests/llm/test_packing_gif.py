@@ -169,3 +169,15 @@ def test_files_that_declare_too_much_are_null(spark):
     df = spark.createDataFrame([(1, huge), (2, good), (3, None)], "id int, data binary")
     got = {x["id"]: x["frames"] for x in gif.frames(df).collect()}
     assert got[1] is None and got[3] is None and got[2][0]["width"] == 192
+
+
+def test_texts_above_the_limit_of_composed_samples_are_stored_all_the_same(monkeypatch):
+    """The limit guards against files that are read as a whole; the query's own media is read frame by frame."""
+    text = "é and more; " * 200_000
+    want = gif.stored_row(text)
+    monkeypatch.setattr(gif, "MAX_SAMPLES", gif.WIDTH * gif.ROWS)
+    assert gif.stored_row(text) == want and want[0] == len(text.encode())
+    assert want[2] == hashlib.sha256(gif.payload_of(text)[1]).hexdigest() and want[3] == zlib.crc32(gif.payload_of(text)[1][-16:])
+    assert want[6].startswith("frames=4;duration_cs=40;")
+    with pytest.raises(ValueError):
+        gif.decode(gif.encode_samples(gif.payload_of(text)[1]), limit=gif.MAX_SAMPLES)
