@@ -22,8 +22,8 @@ from tallyloom.llm.common import fold, struct_of, table
 BUCKETS = 1 << 15
 ORDERS = 4
 SWITCH = 12.0
-#: Documents per language that the model is fitted on, and the languages that training accepts: both bound the model.
-SAMPLE, LANGUAGES = 1000, 2048
+#: Documents per language that the model is fitted on. A language takes 128 KB of the model.
+SAMPLE = 1000
 #: A script belongs to a language if it has at least this share of its letters.
 SCRIPT_SHARE = 0.001
 #: First code point of each range, and its script.
@@ -37,6 +37,8 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = list(dict.fromkeys(s for _, s in SCRIPTS))
 _OF_RANGE = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 CHUNK_WORDS = 400_000
+#: Scores, one a word and language, that are held at a time.
+CELLS = 1 << 22
 
 
 def script_of(word: str) -> int:
@@ -72,7 +74,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Languages:
-    """``log_p`` is BUCKETS x languages; ``allowed`` scripts x languages. Bounded by LANGUAGES."""
+    """``log_p`` is BUCKETS x languages; ``allowed`` scripts x languages."""
 
     names: list[str]
     log_p: np.ndarray
@@ -95,38 +97,66 @@ class Languages:
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best state of every word of many texts, whose words follow each other in ``scores``.
+    """Best state of every word of many texts, whose words follow each other in ``scores``."""
+    return _paths(lengths, scores.shape[1], lambda positions: (scores[at] for at in positions), switch)
 
-    Texts advance together, one word a step, longest first. Ties keep the language, then take the first.
+
+def _paths(lengths: np.ndarray, states: int, scored, switch: float) -> np.ndarray:
+    """Best paths. ``scored`` takes the positions of the words of each step and gives their scores, step by step.
+
+    Texts advance together, one word a step, longest first. Ties keep the language, then take the first. A state that
+    is worth less than a switch from the best one is entered anew; each state keeps the step at which it was entered,
+    and each word the best state before it with that state's step. So the way back goes from span to span, and memory
+    is a few numbers a word and a text's states, not words times states.
     """
     n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
     size = lengths[order]
-    live = np.searchsorted(-size, -np.arange(1, (int(size[0]) if n else 0) + 1), side="right")
-    stay, best = np.ones(scores.shape, bool), np.zeros(len(scores), np.int16)
-    v = np.zeros((n, scores.shape[1]), np.float32)
+    live = np.searchsorted(-size, -np.arange(1, (int(size[0]) if n else 0) + 1), side="right").tolist()
+    best, since = np.zeros(int(lengths.sum()), np.int32), np.zeros(int(lengths.sum()), np.int32)
+    v, entered = np.zeros((n, states), np.float32), np.zeros((n, states), np.int32)
     rows = np.arange(n)
-    for t, a in enumerate(live.tolist()):
-        at = start[:a] + t
+    positions = [start[:a] + t for t, a in enumerate(live)]
+    for t, (at, found) in enumerate(zip(positions, scored(positions))):
+        a = len(at)
         if t:
             top = v[:a].argmax(1)
+            best[at], since[at] = top, entered[rows[:a], top]
             jump = v[rows[:a], top][:, None] - switch
             held = v[:a] >= jump
-            stay[at], best[at] = held, top
             v[:a] = np.where(held, v[:a], jump)
-        v[:a] += scores[at]
-    path = np.zeros(len(scores), np.int16)
-    state = v.argmax(1) if n else np.zeros(0, int)
-    for t in range(len(live) - 1, -1, -1):
-        a = int(live[t])
-        at = start[:a] + t
-        path[at] = state[:a]
-        if t:
-            state[:a] = np.where(stay[at, state[:a]], state[:a], best[at])
+            entered[:a] = np.where(held, entered[:a], t)
+        v[:a] += found
+    path = np.zeros(len(best), np.int32)
+    for i in np.flatnonzero(size):
+        state = int(v[i].argmax())
+        first, end = int(entered[i, state]), int(size[i])
+        while True:
+            path[start[i] + first : start[i] + end] = state
+            if not first:
+                break
+            at = start[i] + first
+            state, end, first = int(best[at]), first, int(since[at])
     return path
 
 
+def _scored(model: Languages, unique: list[str], number: np.ndarray, positions: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Scores of the words at each step: different words are scored once for as many steps as ``CELLS`` has room for."""
+    room, t = max(1, CELLS // len(model.names)), 0
+    while t < len(positions):
+        end, words = t + 1, len(positions[t])
+        while end < len(positions) and words + len(positions[end]) <= room:
+            words += len(positions[end])
+            end += 1
+        wanted, place = np.unique(number[np.concatenate(positions[t:end])], return_inverse=True)
+        table, k = model.word_scores([unique[i] for i in wanted]), 0
+        for at in positions[t:end]:
+            yield table[place[k : k + len(at)]]
+            k += len(at)
+        t = end
+
+
 def _labelled(texts: list[str | None], model: Languages, switch: float, spans: bool) -> list[tuple]:
     """(language, score, spans) for each text; a span is (first word, words, language)."""
     if not model.names:
@@ -136,7 +166,7 @@ def _labelled(texts: list[str | None], model: Languages, switch: float, spans: b
     while at < len(texts):
         words: list[str] = []
         lengths: list[int] = []
-        while at < len(texts) and (not lengths or len(words) < CHUNK_WORDS):
+        while at < len(texts) and (not lengths or len(words) < CHUNK_WORDS and len(lengths) * len(model.names) < CELLS):
             w = (texts[at] or "").lower().split()
             words += w
             lengths.append(len(w))
@@ -144,9 +174,8 @@ def _labelled(texts: list[str | None], model: Languages, switch: float, spans: b
         seen: dict[str, int] = {}
         number = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
         unique = list(seen)
-        scores = model.word_scores(unique)[number] if words else np.zeros((0, len(model.names)), np.float32)
         letters = np.fromiter((sum(map(str.isalpha, w)) if not w.isalpha() else len(w) for w in unique), np.int64, len(unique))[number]
-        path = viterbi(scores, np.array(lengths), switch)
+        path = _paths(np.array(lengths), len(model.names), lambda positions: _scored(model, unique, number, positions), switch)
         begin = 0
         for n in lengths:
             p, x = path[begin : begin + n], letters[begin : begin + n]
@@ -176,30 +205,28 @@ def _counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["grams", "scripts"])
 
 
-def train(docs: DataFrame, learn: object, sample: int = SAMPLE, languages: int = LANGUAGES) -> Languages:
+def train(docs: DataFrame, learn: object, sample: int = SAMPLE) -> Languages:
     """A model from text and non-null lang of the rows that meet the condition ``learn``.
 
     About ``sample`` documents per language, those with the lowest hashes of the id. Their counts are added up per
-    language and bucket on the executors; only this table comes back. Every value of lang is learned; more than
-    ``languages`` of them raise ValueError, as none is dropped in silence.
+    language and bucket on the executors; only this table comes back. Every value of lang is learned, however many.
     """
     known = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(languages + 1).collect()}
-    if len(found) > languages:
-        raise ValueError(f"lang has more than {languages} values; pass a larger bound")
-    names = sorted(found)
+    sizes = known.groupBy("lang").count()
+    names = sorted(r["lang"] for r in sizes.collect())
     log_p = np.zeros((BUCKETS, len(names)), np.float32)
     allowed = np.ones((len(_NAMES), len(names)), bool)
     if not names:
         return Languages(names, log_p, allowed)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, sample / found[k]))]), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
+    chosen = known.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counted = chosen.select("lang", "text").withColumn("c", _counted.asNondeterministic()("text"))
     both = counted.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("c.grams").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("c.scripts").alias("x")))).alias("e"))
     cells = both.select("lang", "e.kind", F.posexplode("e.x").alias("pos", "value"))
     summed = cells.groupBy("lang", "kind", F.when(F.col("kind") == 0, F.col("value")).otherwise(F.col("pos")).alias("cell")).agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(F.col("value"))).alias("n")).toPandas()
+    by_lang = dict(list(summed.groupby("lang")))
     for k, lang in enumerate(names):
-        mine = summed[summed["lang"] == lang]
+        mine = by_lang.get(lang, summed.iloc[:0])
         g, s = mine[mine["kind"] == 0], mine[mine["kind"] == 1]
         n = np.zeros(BUCKETS)
         n[g["cell"].to_numpy(np.int64)] = g["n"].to_numpy(float)

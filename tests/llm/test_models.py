@@ -195,11 +195,35 @@ def test_toxicity_held_out_and_by_hand(spark):
         assert all(math.isclose(p, x["toxicity"][c], abs_tol=1e-9) for p, c in zip(ps, tx.CHAIN))
 
 
-def test_more_languages_than_the_bound_are_an_error(docs):
-    d = docs(*[(i, f"w{i} text", f"l{i}", "s") for i in range(4)])
-    assert lid.train(d, F.lit(True)).names == ["l0", "l1", "l2", "l3"]
-    with pytest.raises(ValueError):
-        lid.train(d, F.lit(True), languages=3)
+def test_every_language_is_learned_and_memory_does_not_grow_with_words_times_languages(docs, monkeypatch):
+    import tracemalloc
+
+    n = 3000
+    rows = [(i, f"zq{i}x zq{i}y zq{i}z", f"l{i:04d}", "s") for i in range(n)]
+    m = lid.train(docs(*rows), F.lit(True))
+    assert len(m.names) == n
+    monkeypatch.setattr(lid, "CELLS", 1 << 18)
+    text = " ".join(["zq7x zq7y"] * 10_000 + ["zq2999x zq2999z"] * 5_000)
+    tracemalloc.start()
+    got = lid._labelled([text, "zq5x zq5y zq5z", None], m, lid.SWITCH, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Scores of all words would take 360 MB.
+    assert peak < 120e6
+    assert got[0][2] == [(0, 20_000, "l0007"), (20_000, 10_000, "l2999")] and got[1][0] == "l0005" and got[2][0] == "und"
+
+
+def test_blocks_of_scores_do_not_change_paths(monkeypatch):
+    rng = random.Random(6)
+    names = ["a", "b", "c"]
+    words = [f"w{k}" for k in range(30)]
+    log_p = np.random.default_rng(1).normal(-9, 2, (lid.BUCKETS, 3)).astype(np.float32)
+    m = lid.Languages(names, log_p, np.ones((len(lid._NAMES), 3), bool))
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 60, 300]))) for _ in range(40)]
+    want = lid._labelled(texts, m, 3.0, True)
+    for cells in (1, 7, 100, 5000):
+        monkeypatch.setattr(lid, "CELLS", cells)
+        assert lid._labelled(texts, m, 3.0, True) == want
 
 
 def test_repeated_rows_are_learned_from_once(spark, docs):
