@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import lexicon, options as op, text as tx
 from tallyloom.functions.rng import u32
-from tallyloom.operators import scoring, selection, stats
+from tallyloom.operators import resampling, scoring, selection, stats
 from tallyloom.plans.questions import _FAM, _ONE, _P, _pat, good
 from tallyloom.plans.registry import EV, STATUSES, U, events, query, r6
 from tallyloom.plans.texts import _VAR, variants
 from tallyloom.sources.readers import table
+from tallyloom.sources.staging import staged
 
 _FLIP = f"{_VAR}, f AS (SELECT v.id, v.variant, 'cat' || (v.id % 7)::VARCHAR AS category, v.id % 2 = 0 AS has_direction, (v.pred IS DISTINCT FROM o.pred)::INT AS flipped FROM v JOIN v o ON o.id = v.id AND o.variant = 'orig' WHERE v.variant <> 'orig')"
 
@@ -135,16 +136,53 @@ def job_schedule(spark, sf):
     return c.select("condition", "calls", r6(need / 3600).alias("padded_hours"), jobs.cast("long").alias("jobs"), F.ceil(F.col("calls") / F.greatest(F.lit(1), jobs)).cast("long").alias("calls_per_job"))
 
 
-@query(f"""WITH {_P}, v AS (SELECT id, gold, letter, len(regexp_extract_all(lower(o), '[a-z0-9]+(?:''[a-z]+)?')) AS n FROM ({_ONE})), w AS (SELECT id, gold, letter, n = max(n) OVER (PARTITION BY id) AS a, n = min(n) OVER (PARTITION BY id) AS b FROM v),
-s AS (SELECT id, sum((a AND letter = gold)::INT) / sum(a::INT) AS longest, sum((b AND letter = gold)::INT) / sum(b::INT) AS shortest, max((gold = 'A')::INT)::DOUBLE AS letter_a FROM w GROUP BY 1),
-l AS (SELECT unnest(['longest', 'shortest', 'letter_a']) AS policy, unnest([longest, shortest, letter_a]) AS score FROM s) SELECT policy, count(*) AS n, round(avg(score), 6) AS accuracy, round(avg(score) - 1.959964 * stddev_samp(score) / sqrt(count(*)), 6) AS ci_low, round(avg(score) + 1.959964 * stddev_samp(score) / sqrt(count(*)), 6) AS ci_high FROM l GROUP BY 1""")
+#: Repetitions of intervals and of random answers.
+REPS = 10_000
+#: Scores that a policy can have, by their number of twelfths: 1 / m if it leaves m letters tied, else 0.
+_CODES = (0, 3, 4, 6, 12)
+
+
+def _policy_sql() -> str:
+    steps, last = [], "b0"
+    for code in _CODES:
+        steps.append(resampling.sql_draw(last, f"d{code}", "rest", f"c{code} / nullif(mass, 0)", f"'resample|policy|' || policy || '|' || rep || '|{code}'"))
+        steps.append(f"e{code} AS (SELECT * EXCLUDE (k, rest, mass, total), rest - k AS rest, mass - c{code} AS mass, total + k * {code} / 12.0::DOUBLE AS total FROM d{code})")
+        last = f"e{code}"
+    first, last2 = [], "h0"
+    for m in (1, 2, 3, 4):
+        first.append(resampling.sql_draw(last2, f"f{m}", f"m{m}", f"{m} / 4.0", f"'chance|policy|' || policy || '|' || rep || '|{m}'"))
+        first.append(f"g{m} AS (SELECT * EXCLUDE (k, total), total + k / {m}.0::DOUBLE AS total FROM f{m})")
+        last2 = f"g{m}"
+    counts = ", ".join(f"count(*) FILTER (WHERE code = {c}) AS c{c}" for c in _CODES) + ", " + ", ".join(f"count(*) FILTER (WHERE m = {m}) AS m{m}" for m in (1, 2, 3, 4))
+    return f"""WITH {_P}, v AS (SELECT id, gold, letter, len(regexp_extract_all(lower(o), '[a-z0-9]+(?:''[a-z]+)?')) AS n FROM ({_ONE})), w AS (SELECT id, gold, letter, n = max(n) OVER (PARTITION BY id) AS a, n = min(n) OVER (PARTITION BY id) AS b FROM v),
+s AS (SELECT id, sum((a AND letter = gold)::INT) / sum(a::INT) AS longest, sum(a::INT) AS m1, sum((b AND letter = gold)::INT) / sum(b::INT) AS shortest, sum(b::INT) AS m2, max((gold = 'A')::INT)::DOUBLE AS letter_a FROM w GROUP BY 1),
+l AS (SELECT unnest(['longest', 'shortest', 'letter_a']) AS policy, unnest([longest, shortest, letter_a]) AS score, unnest([m1, m2, 1]) AS m FROM s),
+t AS (SELECT policy, count(*) AS n, avg(score) AS accuracy, {counts} FROM (SELECT *, round(score * 12)::INT AS code FROM l) GROUP BY 1),
+r AS (SELECT t.*, rep FROM t, (SELECT unnest(range({REPS})) AS rep)), b0 AS MATERIALIZED (SELECT *, n AS rest, n AS mass, 0.0::DOUBLE AS total FROM r), {", ".join(steps)},
+ci AS (SELECT policy, quantile_cont(total / n, 0.025) AS ci_low, quantile_cont(total / n, 0.975) AS ci_high FROM {last} GROUP BY 1),
+h0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS total FROM r), {", ".join(first)},
+pv AS (SELECT policy, (1 + count(*) FILTER (WHERE total / n >= accuracy - 1e-12)) / {REPS + 1}.0 AS p FROM {last2} GROUP BY 1),
+x AS (SELECT t.policy, t.n, accuracy, ci_low, ci_high, p, count(*) OVER () AS fam, row_number() OVER (ORDER BY p, t.policy) AS k FROM t JOIN ci ON ci.policy = t.policy JOIN pv ON pv.policy = t.policy)
+SELECT policy, n, round(accuracy, 6) AS accuracy, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p_vs_25, round(least(1, max((fam - k + 1) * p) OVER (ORDER BY p, policy ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM x"""
+
+
+@query(_policy_sql())
 def policy_table(spark, sf):
-    """Accuracy of guessing policies with a normal interval."""
+    """Accuracy of guessing policies: interval from 10,000 resamples, p against random answers, and p adjusted by Holm."""
     q = good(spark, sf).select("gold", op.extremum_policy(op.lengths(F.col("opts"))).alias("a"), op.extremum_policy(op.lengths(F.col("opts")), smallest=True).alias("b"))
-    scores = F.array(*[F.struct(F.lit(n).alias("policy"), s.cast("double").alias("score")) for n, s in (("longest", op.policy_score(F.col("a"), F.col("gold"))), ("shortest", op.policy_score(F.col("b"), F.col("gold"))), ("letter_a", (F.col("gold") == "A").cast("double")))])
+    tied = lambda c: F.size(F.filter(c, lambda x: x > 0))
+    named = (("longest", op.policy_score(F.col("a"), F.col("gold")), tied(F.col("a"))), ("shortest", op.policy_score(F.col("b"), F.col("gold")), tied(F.col("b"))), ("letter_a", (F.col("gold") == "A").cast("double"), F.lit(1)))
+    scores = F.array(*[F.struct(F.lit(n).alias("policy"), s.cast("double").alias("score"), m.cast("int").alias("m")) for n, s, m in named])
     l = q.select(F.explode(scores).alias("s")).select("s.*")
-    half = 1.959964 * F.stddev_samp("score") / F.sqrt(F.count(F.lit(1)))
-    return l.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("accuracy"), r6(F.avg("score") - half).alias("ci_low"), r6(F.avg("score") + half).alias("ci_high"))
+    counts = staged(l.groupBy("policy", F.round(F.col("score") * 12).cast("int").alias("code"), "m").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")), "scores")
+    seen = counts.groupBy("policy").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("accuracy"))
+    codes = counts.groupBy("policy", "code").agg(F.sum("n").alias("n")).withColumn("x", F.col("code") / F.lit(12.0))
+    ends = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
+    ci = resampling.means(codes, ["policy"], REPS, "policy").groupBy("policy").agg(ends.alias("e"))
+    null = resampling.chance_means(counts.groupBy("policy", "m").agg(F.sum("n").alias("n")), ["policy"], REPS, "policy")
+    p = null.join(seen.select("policy", "accuracy"), "policy").groupBy("policy").agg(((1 + F.count_if(F.col("mean") >= F.col("accuracy") - 1e-12)) / F.lit(REPS + 1.0)).alias("p_value"))
+    out = stats.holm(seen.join(ci, "policy").join(p, "policy"), "p_value", "policy")
+    return out.select("policy", "n", r6("accuracy").alias("accuracy"), r6(F.get("e", F.lit(0))).alias("ci_low"), r6(F.get("e", F.lit(1))).alias("ci_high"), r6("p_value").alias("p_vs_25"), r6("p_holm").alias("p_holm"))
 
 
 @query("WITH k AS (SELECT unnest(['en', 'fr', 'de', 'es']) AS lang, unnest([1, 2, 3, 4]) AS o) SELECT doc_id, d.lang, row_number() OVER (ORDER BY o, doc_id) AS position FROM documents d JOIN k ON k.lang = d.lang")
