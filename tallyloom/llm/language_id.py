@@ -212,14 +212,16 @@ def train(docs: DataFrame, learn: object, sample: int = SAMPLE) -> Languages:
     language and bucket on the executors; only this table comes back. Every value of lang is learned, however many.
     """
     known = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = known.groupBy("lang").count()
-    names = sorted(r["lang"] for r in sizes.collect())
+    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(found)
     log_p = np.zeros((BUCKETS, len(names)), np.float32)
     allowed = np.ones((len(_NAMES), len(names)), bool)
     if not names:
         return Languages(names, log_p, allowed)
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    chosen = known.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    # A row a language, far smaller than the model: broadcast, so that texts are not shuffled by a hot language.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in found.items()], "lang string, share double")
+    share = F.col("share")
+    chosen = known.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counted = chosen.select("lang", "text").withColumn("c", _counted.asNondeterministic()("text"))
     both = counted.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("c.grams").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("c.scripts").alias("x")))).alias("e"))
     cells = both.select("lang", "e.kind", F.posexplode("e.x").alias("pos", "value"))
