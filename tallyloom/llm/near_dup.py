@@ -10,7 +10,8 @@ In a bucket only edges to hubs are candidates: first one hub, the member that me
 linked to every other member, so a bucket of m members has m - 1 candidates. Links are confirmed on full sets,
 components follow, and buckets whose members lie in one component are done. In the others the hub, which has met
 everyone, leaves, and new hubs, taken outside the bucket's largest component, ``SLOTS`` at first and eight times as
-many each round, meet the members of other components and leave, until no bucket is open. So every pair of a bucket's
+many each round, meet the members of other components and leave. Once all members outside the largest component fit
+into the slots, all become hubs and the bucket is done. So every pair of a bucket's
 members in different components is checked, but those whose sizes or sketches prove them too far apart, and no group
 is expanded into all its pairs. A sketch holds the parity of the number of shingles in each of ``SKETCH`` classes: a
 shingle that only one of two sets has changes one bit, so sets differ in at least as many shingles as their sketches in
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,45 +154,49 @@ def _near_in_sketch():
     return F.lit(100 + PERCENT) * apart <= F.lit(100 - PERCENT) * (F.col("n") + F.col("m"))
 
 
-def links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``members(key, node, n, rank)`` that are linked with another.
+def links(members: DataFrame, nodes: DataFrame, texts: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``(node, label)`` for the nodes of ``members(key, node, n)`` that are linked with another.
 
-    A bucket's hub is the member of lowest rank. ``nodes`` has node, n and sketch, ``texts`` node and text; both have
-    one row a node.
+    A bucket's hub is the member of lowest rank. ``nodes`` has node, n, rank and sketch, ``texts`` node and text; both
+    have one row a node. The result is a table of the ``scratch`` that ``held`` belongs to.
     """
-    with scratch(members.sparkSession) as held:
-        hub = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
-        hub = held(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
-        met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
-        pairs = held(met.where(_near_in_size()).select("u", "v").distinct(), "met")
-        pairs = pairs.join(nodes.select(F.col("node").alias("u"), "n", "sketch"), "u")
-        pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
-        pairs = held(pairs, "pairs")
-        label = components(_confirmed(pairs, texts))
-        checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
-        left = met.select("key", F.col("u").alias("node"), "n", "rank")
-        slots = SLOTS
-        while True:
-            known = held(left.join(label, "node", "left").select("key", "node", "n", "rank", F.coalesce("label", "node").alias("c")), "known")
-            shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-            torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
-            left = held(known.join(held(torn.where("parts > 1").select("key", "most"), "torn"), "key"), "left")
-            if left.isEmpty():
-                return label
-            drawn = held(left.join(nodes.select("node", "sketch"), "node"), "drawn")
-            slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots))
-            hub = drawn.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
-            hub = held(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
-            met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
-            pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-            pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti")
-            checked.append(held(pairs, "pairs"))
-            new = held(_confirmed(checked[-1], texts), "links")
-            if not new.isEmpty():
-                chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
-                label = components(chain.unionByName(new))
-            left = held(left.select("key", "node", "n", "rank").join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "left")
-            slots *= 8
+    hub = members.join(nodes.select("node", "rank"), "node").groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("h"))
+    hub = held(hub.select("key", F.col("h.node").alias("v"), F.col("h.n").alias("m")), "hubs")
+    met = members.withColumnRenamed("node", "u").join(hub, "key").where("u <> v")
+    pairs = held(met.where(_near_in_size()).select("u", "v").distinct(), "met")
+    pairs = pairs.join(nodes.select(F.col("node").alias("u"), "n", "sketch"), "u")
+    pairs = pairs.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v").where(_near_in_sketch()).select("u", "v")
+    pairs = held(pairs, "pairs")
+    label = components(_confirmed(pairs, texts), held, unique=True)
+    checked = [pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))]
+    left = met.select("key", F.col("u").alias("node"), "n")
+    slots = SLOTS
+    while True:
+        known = held(left.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("c")), "known")
+        shares = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+        torn = shares.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("most"), (F.sum("size") - F.max("size")).alias("others"))
+        torn = held(torn.where("others > 0"), "torn")
+        if torn.isEmpty():
+            return label
+        drawn = held(known.join(torn, "key").join(nodes.select("node", "rank", "sketch"), "node"), "drawn")
+        # Where all members outside the largest component have slots, each has its own and the bucket is done.
+        all_in = F.col("others") <= slots
+        slot = F.when(all_in, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slots)).cast("string").cast("binary"))
+        hub = drawn.where("c <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("other"))).alias("h"))
+        hub = held(hub.select("key", "h.v", "h.m", "h.d", "h.other"), "hubs")
+        met = drawn.join(hub, "key").where((F.col("c") != F.col("d")) & _near_in_size() & _near_in_sketch())
+        pairs = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti")
+        checked.append(held(pairs, "pairs"))
+        new = held(_confirmed(checked[-1], texts), "links")
+        if not new.isEmpty():
+            chain = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            label = components(chain.unionByName(new), held, unique=True)
+        wide = drawn.where(~all_in).select("key", "node", "n")
+        if wide.isEmpty():
+            return label
+        left = wide.join(hub.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti")
+        slots *= 8
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -201,20 +206,18 @@ def labelled(docs: DataFrame) -> DataFrame:
     signed = staged(signed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signatures")
     with scratch(docs.sparkSession) as held:
         # One row of all that have a node's set stands for it, however often ids or rows repeat.
-        first = held(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("f")).select("node", "f.doc_id", "f.t"), "nodes")
-        ours = signed.select("doc_id", "t", "n", "node", "bands", "sketch").join(first, ["node", "doc_id", "t"], "left_semi")
-        ours = held(ours.dropDuplicates(["node"]), "one")
+        ours = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("f"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
+        ours = held(ours.select("node", "f.doc_id", "f.t", "n", "bands", "sketch"), "nodes")
         rows = ours.select("node", "n", F.explode("bands").alias("key"))
-        full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = held(rows.join(held(full, "buckets"), "key"), "members")
+        full = held(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+        members = held(rows.join(full, "key"), "members")
         # The more others a node meets in its buckets, the likelier it is what they were copied from: the best hub.
         wanted = members.groupBy("node").agg((-F.sum("size")).alias("rank"))
         wanted = held(wanted.join(ours.select("node", "n", "sketch", "doc_id", "t"), "node"), "wanted")
-        members = held(members.select("key", "node", "n").join(wanted.select("node", "rank"), "node"), "ranked")
         texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.select("node", "doc_id", "t"), ["doc_id", "t"])
         texts = held(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-        label = links(members, wanted.select("node", "n", "sketch"), texts)
-        named = held(first.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labels")
+        label = links(members.select("key", "node", "n"), wanted.select("node", "n", "rank", "sketch"), texts, held)
+        named = ours.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         least = held(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
         named = staged(named.select("node", "label").join(least, "label"), "named")
     return signed.select("doc_id", "t", "n", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
