@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import u32
-from tallyloom.operators import evidence, graph, renderings, sampling, state
+from tallyloom.operators import evidence, graph, nested, renderings, sampling, state
 from tallyloom.operators.evidence import ENUMS
 from tallyloom.operators.similarity import threshold_pairs
 from tallyloom.plans.registry import EV, U, events, query, r6
@@ -309,6 +310,35 @@ def config_diff(spark, sf):
     return state.changed_paths(a, b)
 
 
+_VERSIONS = """v AS (SELECT event_id, user_id, '{"props":' || props || ',"run":{"type":"' || event_type || '","steps":' || CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[1,{"a":null}]' WHEN 2 THEN '"none"' ELSE '[1,{"a":' || user_id || '}]' END || '}}' AS doc FROM events),
+p AS (SELECT event_id, user_id, lag(doc) OVER (PARTITION BY user_id ORDER BY event_id) AS before, doc AS after FROM v),
+x AS (SELECT event_id, 'b' AS side, before::JSON AS doc FROM p WHERE before IS NOT NULL UNION ALL SELECT event_id, 'a', after::JSON FROM p WHERE before IS NOT NULL),
+f AS (SELECT x.event_id, x.side, t.fullkey AS path, CASE WHEN t.type = 'NULL' THEN 'null' ELSE t.value::VARCHAR END AS value FROM x, json_tree(x.doc) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{}', '[]')),
+c AS (SELECT coalesce(b.event_id, a.event_id) AS event_id, coalesce(b.path, a.path) AS path, b.value AS before, a.value AS after FROM (SELECT * FROM f WHERE side = 'b') b FULL JOIN (SELECT * FROM f WHERE side = 'a') a ON a.event_id = b.event_id AND a.path = b.path WHERE b.value IS DISTINCT FROM a.value)"""
+
+
+def _version_changes(spark, sf):
+    """What changed in an event's settings against those of the user's event before."""
+    e = table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    steps = F.when(k == 0, "[]").when(k == 1, '[1,{"a":null}]').when(k == 2, '"none"').otherwise(F.concat(F.lit('[1,{"a":'), "user_id", F.lit("}]")))
+    doc = F.concat(F.lit('{"props":'), "props", F.lit(',"run":{"type":"'), "event_type", F.lit('","steps":'), steps, F.lit("}}"))
+    pairs = e.select("event_id", "user_id", doc.alias("after")).withColumn("before", F.lag("after").over(Window.partitionBy("user_id").orderBy("event_id")))
+    return nested.changes(pairs.where("before IS NOT NULL"), ["event_id"], "before", "after")
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM c")
+def nested_changes(spark, sf):
+    return _version_changes(spark, sf)
+
+
+@query(f"WITH {_VERSIONS} SELECT event_id, count(*) AS n, min(path) AS first_path FROM c WHERE path <> '$.props.k' AND NOT starts_with(path, '$.run.steps') GROUP BY 1")
+def incompatible_versions(spark, sf):
+    """Events whose settings differ from the user's last ones beyond what may differ, and the first such path."""
+    bad = nested.incompatible(_version_changes(spark, sf), ["$.props", "$.run.steps"])
+    return bad.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark, sf):
     return stream.tumbling(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total").alias("total"))
