@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import order_key
+from tallyloom.operators.ranks import global_rank
 
 _OUT = "id bigint, category string, group bigint, n_images int, part string, role string, reason string, place bigint"
 
@@ -73,12 +74,9 @@ def select_sets(items: DataFrame, eval_limit: int, dev_each: int, timing_counts:
 
 
 def positions(df: DataFrame, by: list[str], out: str = "position") -> DataFrame:
-    """Numbers from 1 over all rows: range partitions are numbered by themselves and moved on by those before them."""
-    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
-    local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
-    counts = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return local.join(before, "__part").withColumn(out, F.col("__r") + F.col("__b")).drop("__part", "__r", "__b")
+    """Numbers from 1 over all rows in a total order. The ranges are stored: computed twice, for the numbers and for the
+    counts before them, they can be cut at different rows."""
+    return global_rank(df, by, out)
 
 
 def round_robin_shuffled(items: DataFrame, n: int, seed: int) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallyloom.operators.selection import positions
 from tallyloom.operators.similarity import permuted_labels
 from tallyloom.operators.stats import auroc, average_ranks
 
@@ -35,3 +36,17 @@ def test_each_repetition_deals_the_same_labels(spark):
     assert got.groupby("rep").label.apply(lambda x: sorted(x) == want).all() and not got.duplicated(["rep", "id"]).any()
     orders = got.sort_values("id").groupby("rep").label.apply("".join)
     assert len(orders) == 20 and orders.nunique() == 20
+
+
+def test_positions_do_not_depend_on_where_ranges_are_cut(spark):
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in zip(keys, ("40000", "false", "20000", "12")):
+            spark.conf.set(k, v)
+        d = spark.range(6000).select((F.col("id") * 7919 % 6007).alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = [(x["id"], x["position"]) for x in positions(d, ["id"]).select("wide", "id", "position").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [p for _, p in sorted(got)] == list(range(1, 6001))
