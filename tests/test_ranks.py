@@ -1,10 +1,12 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.selection import positions
 from tallyloom.operators.similarity import permuted_labels
 from tallyloom.operators.stats import auroc, average_ranks
+from tallyloom.plans import ORACLES, statistics
 
 
 def test_average_ranks_match_pandas_with_ties_groups_and_nulls(spark):
@@ -50,3 +52,14 @@ def test_positions_do_not_depend_on_where_ranges_are_cut(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert [p for _, p in sorted(got)] == list(range(1, 6001))
+
+
+def test_spearman_query_as_its_sql_when_p_is_tiny_or_values_are_missing(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    near = [(i, "\n" * (i + i % 5), 10 * i) for i in range(2500)]
+    missing = [(i, None if i % 4 == 0 else "\n" * (i * 37 % 101), None if i % 7 == 0 else i) for i in range(300)]
+    for name, rows in (("near", near), ("missing", missing)):
+        spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{name}/documents.parquet/*.parquet')")
+        assert [tuple(r) for r in statistics.spearman(spark, f"{tmp_path}/{name}").collect()] == con.execute(ORACLES["spearman"]).fetchall()
