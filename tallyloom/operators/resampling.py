@@ -6,10 +6,14 @@ with repetitions and distinct values, and with the rows only by one count. Draws
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.rng import u32
+from tallyloom.functions.rng import u32, u32_grid
 
 #: Below this expected number (of the rarer outcome) a binomial is drawn by inversion, term by term up to ``TERMS``.
 SMALL, TERMS = 30, 100
@@ -92,3 +96,34 @@ def sql_draw(source: str, out: str, n: str, p: str, key: str) -> str:
 {out}b AS (SELECT *, CASE WHEN n_ * {q} < {SMALL} THEN list_transform(range({TERMS}), lambda i: {term}) END AS t_ FROM {out}a),
 {out}c AS (SELECT *, CASE WHEN t_ IS NOT NULL THEN {few} ELSE {many} END AS r_ FROM {out}b),
 {out} AS (SELECT * EXCLUDE (n_, p_, u_, w_, t_, r_), CASE WHEN p_ > 0.5 THEN n_ - r_ ELSE r_ END AS k FROM {out}c)"""
+
+
+def drawn_hits(df: DataFrame, key: str, answer: str, name: str, reps: int, options: int = 4) -> DataFrame:
+    """``(rep, hits)``: how many rows' ``answer``, a number below ``options``, is the one drawn for them in each repetition.
+
+    The draw is ``u32(name, rep, key)`` modulo ``options``. Rows and repetitions are never joined: a task makes the draws
+    of its rows, some 30,000 at a time, and gives one sum a repetition. Rows are spread by key, 4,096 a task.
+    """
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(answer).cast("int").alias("answer")).where("key IS NOT NULL AND answer IS NOT NULL")
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = np.zeros(reps, np.int64)
+        heads = [f"{name}|{r}|".encode() for r in range(reps)]
+        for p in parts:
+            tails = p["key"].str.encode("utf-8")
+            for _, same in p.assign(key=tails).groupby(tails.str.len()):
+                want, keys = same["answer"].to_numpy(np.uint32), same["key"].tolist()
+                step, at = max(1, 32_768 // len(keys)), 0
+                while at < reps:
+                    to = at + 1
+                    while to < min(reps, at + step) and len(heads[to]) == len(heads[at]):
+                        to += 1
+                    drawn = u32_grid(heads[at:to], keys) % np.uint32(options)
+                    hits[at:to] += (drawn == want).sum(axis=1)
+                    at = to
+        if hits.any():
+            yield pd.DataFrame({"rep": np.arange(reps), "hits": hits})
+
+    tasks = rows.count() // 4096 + 1
+    made = rows.repartition(tasks, "key").mapInPandas(count, "rep long, hits long")
+    return made.groupBy("rep").agg(F.sum("hits").alias("hits"))

@@ -1,8 +1,13 @@
 """Draws by counts have the distributions of draws row by row."""
 
+import hashlib
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import rng
 from tallyloom.operators import resampling as rs
 
 
@@ -33,3 +38,22 @@ def test_chance_scores(spark):
     # Every question scores a quarter on average; one that leaves all four letters tied always does.
     sd = (300 * 3 / 16 + 100 * (0.5 * 0.25 - 1 / 16)) ** 0.5 / 450
     assert len(a) == 4000 and abs(a.mean() - 0.25) < 0.002 and abs(a.std() / sd - 1) < 0.06
+
+
+def test_grid_of_hashes_is_md5():
+    for heads, tails in (([b"null|7|", b"null|9|"], [b"12", b"-4", b"99"]), ([b""], [b"abcd"]), ([b"x" * 30, b"y" * 30], [b"z" * 25]), ([b"abc"], [b""])):
+        want = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
+        assert rng.u32_grid(heads, tails).tolist() == want
+    with pytest.raises(ValueError):
+        rng.u32_grid([b"x" * 30], [b"y" * 26])
+
+
+def test_drawn_hits_are_those_of_single_draws_and_quick(spark):
+    keys = [None, 5, -17, 123456789, 9, 10, *range(1000, 1040)]
+    d = spark.createDataFrame([(k, None if i == 3 else i % 4) for i, k in enumerate(keys)], "id long, answer int")
+    want = d.select("answer", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("rep"), "id").where("id IS NOT NULL").where(rng.u32("null", F.col("rep"), F.col("id")) % 4 == F.col("answer")).groupBy("rep").count()
+    assert {r[0]: r[1] for r in rs.drawn_hits(d, "id", "answer", "null", 120).collect() if r[1]} == {r[0]: r[1] for r in want.collect()}
+    many = spark.range(100_000, 104_000).withColumn("answer", (F.col("id") % 4).cast("int"))
+    start = time.perf_counter()
+    got = rs.drawn_hits(many, "id", "answer", "null", 2000).agg(F.sum("hits")).first()[0]
+    assert abs(got / 8e6 - 0.25) < 0.001 and time.perf_counter() - start < 60
