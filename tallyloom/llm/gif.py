@@ -1,8 +1,8 @@
 """GIF: LZW code streams, palettes, disposal and transparency, timed frames with colour-histogram columns.
 
 ``decode`` reads any GIF87a or GIF89a into composed frames; ``encode_samples`` stores 8-bit samples losslessly as the
-palette indices of a GIF. Code streams are unpacked from bits in numpy: between two clear codes the width of each code
-depends only on its position, so a whole table's codes are read at once and only the table itself is built in a loop.
+palette indices of a GIF. Code streams are unpacked in numpy: between two clear codes the width of each code depends
+only on its position, so a whole table's codes are read at once, and their strings are followed back all at once.
 """
 
 from __future__ import annotations
@@ -47,6 +47,41 @@ def _codes_at(raw: np.ndarray, start: int, offsets: np.ndarray, width: np.ndarra
     return (word >> (at & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
 
 
+def _strings(codes: np.ndarray, own: int, clear: int, limit: int) -> tuple[bool, bytes]:
+    """Samples of codes that follow a clear, of which the first ``own`` make entries, and whether all can be explained:
+    what comes after one that cannot, or after ``limit`` samples, is left out.
+
+    Entry k is the string of code k and the first sample of code k + 1. So a code's string is as long as its chain of
+    entries, and its samples from the last to the first are the last samples of the entries on the chain; all codes
+    walk their chains at once.
+    """
+    entry = codes - (clear + 2)
+    leaf = codes < clear
+    n = len(codes)
+    wrong = np.flatnonzero(~leaf & (entry >= np.minimum(np.arange(n), own - 1)))
+    sound = not len(wrong)
+    if not sound:
+        n = int(wrong[0])
+        codes, entry, leaf = codes[:n], entry[:n], leaf[:n]
+    if not n:
+        return sound, b""
+    top, depth = np.where(leaf, np.arange(n), entry), (~leaf).astype(np.int64)
+    while not leaf[top].all():
+        depth += depth[top]
+        top = top[top]
+    first = codes[top].astype(np.uint8)
+    ends = np.cumsum(depth + 1)
+    n = int(np.searchsorted(ends, limit)) + 1
+    last = np.where(leaf, codes, first[np.where(leaf, 0, entry + 1)]).astype(np.uint8)[:n]
+    flat = np.empty(int(ends[:n][-1]), np.uint8)
+    at, up = ends[:n] - 1, np.arange(len(last))
+    while len(up):
+        flat[at] = last[up]
+        more = ~leaf[up]
+        at, up = at[more] - 1, entry[up[more]]
+    return sound, flat.tobytes()
+
+
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     """Samples of a code stream with ``bits`` per sample; padded or cut to ``size``.
 
@@ -57,7 +92,6 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
     total, at, got = len(data) * 8, 0, 0
     width, offset = _schedule(bits)
-    singles = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     ended = False
     while not ended and at < total and got < size:
@@ -80,28 +114,10 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
                 rest = rest[: marks[0]] if len(marks) else rest
             else:
                 ended = True
-        book = singles.copy()
-        add, put = book.append, out.append
-        last = b""
-        for c in codes[:used].tolist():
-            try:
-                x = book[c]
-            except IndexError:
-                if c != len(book) or not last:
-                    ended = True
-                    break
-                x = last + last[:1]
-            if last:
-                add(last + x[:1])
-            put(x)
-            last = x
-        else:
-            for c in rest.tolist():
-                if c >= len(book):
-                    ended = True
-                    break
-                put(book[c])
-        got = sum(map(len, out)) if size < (1 << 16) else got + sum(map(len, out[-(used + len(rest)) :] if used + len(rest) else []))
+        sound, part = _strings(np.concatenate([codes[:used], rest]).astype(np.int64), used, clear, size - got)
+        ended = ended or not sound
+        out.append(part)
+        got += len(part)
     flat = b"".join(out)[:size]
     return flat + bytes(size - len(flat))
 
@@ -125,33 +141,28 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     codes: list[int] = [clear]
     put = codes.append
     turns = [0]
-    # A node of the table maps a sample to the longer string's node, and -1 to its own code.
-    roots = [{-1: i} for i in range(clear)]
-    top, node = stop, None
+    # The table maps a string's code and the sample after it, as one number, to the longer string's code.
+    table: dict[int, int] = {}
+    find = table.get
     steps = iter(samples)
-    for first in steps:
-        node = roots[first]
-        break
+    top, node = stop, next(steps, None)
     for b in steps:
-        longer = node.get(b)
+        longer = find(node << 8 | b)
         if longer is not None:
             node = longer
             continue
-        put(node[-1])
+        put(node)
         top += 1
-        node[b] = {-1: top}
-        node = roots[b]
+        table[node << 8 | b] = top
+        node = b
         if top == _FULL - 1:
             put(b)
             put(clear)
             turns.append(len(codes) - 1)
-            roots = [{-1: i} for i in range(clear)]
-            top, node = stop, None
-            for first in steps:
-                node = roots[first]
-                break
+            table.clear()
+            top, node = stop, next(steps, None)
     if node is not None:
-        put(node[-1])
+        put(node)
     put(stop)
     width, _ = _schedule(bits)
     widths = np.empty(len(codes), np.int64)
@@ -302,10 +313,12 @@ def _drawn(canvas: np.ndarray, f: Frame) -> tuple[np.ndarray, np.ndarray]:
     shown = canvas.copy()
     area = shown[f.top : f.top + f.height, f.left : f.left + f.width]
     index = np.frombuffer(f.indices, np.uint8).reshape(f.height, f.width)[: area.shape[0], : area.shape[1]]
-    colour = f.palette[np.minimum(index, len(f.palette) - 1)]
-    solid = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
-    area[solid, :3] = colour[solid]
-    area[solid, 3] = 255
+    # A pixel is moved as one number of four bytes; indices beyond the palette take its last colour.
+    rgba = np.full((256, 4), 255, np.uint8)
+    rgba[:, :3] = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)]
+    pixel = rgba.view(np.uint32)[:, 0][index]
+    solid = True if f.transparent is None else index != f.transparent
+    np.copyto(area.view(np.uint32)[..., 0], pixel, where=solid)
     if f.disposal == 3:
         return shown, canvas
     after = shown
@@ -317,8 +330,9 @@ def _drawn(canvas: np.ndarray, f: Frame) -> tuple[np.ndarray, np.ndarray]:
 
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of the opaque pixels in 64 colours, two bits a channel, red first."""
-    seen = pixels[pixels[..., 3] > 0][:, :3] >> 6
-    return np.bincount(seen[:, 0] * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
+    red, green, blue = (pixels[..., i] >> 6 << s for i, s in ((0, 4), (1, 2), (2, 0)))
+    colour, opaque = (red | green | blue), pixels[..., 3] > 0
+    return np.bincount((colour if opaque.all() else colour[opaque]).ravel(), minlength=64)
 
 
 FRAME = struct_of("frame int, start_cs long, delay_cs int, width int, height int, colour_histogram long[], pixels binary")

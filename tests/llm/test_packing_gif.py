@@ -1,3 +1,4 @@
+import cProfile
 import hashlib
 import os
 import random
@@ -181,3 +182,51 @@ def test_texts_above_the_limit_of_composed_samples_are_stored_all_the_same(monke
     assert want[6].startswith("frames=4;duration_cs=40;")
     with pytest.raises(ValueError):
         gif.decode(gif.encode_samples(gif.payload_of(text)[1]), limit=gif.MAX_SAMPLES)
+
+
+def plain_lzw_decode(data: bytes, bits: int) -> bytes:
+    """Code by code; up to the first code that cannot be explained."""
+    clear, stop = 1 << bits, (1 << bits) + 1
+    number, at, out, book, last = int.from_bytes(data, "little"), 0, [], None, b""
+    book = [bytes([i]) for i in range(clear)] + [b"", b""]
+    seen = 0
+    while True:
+        width = min(12, max(bits + 1, (clear + 2 + max(0, seen - 1)).bit_length()))
+        if at + width > len(data) * 8:
+            return b"".join(out)
+        c, at = number >> at & ((1 << width) - 1), at + width
+        if c == clear:
+            book, last, seen = book[: clear + 2], b"", 0
+            continue
+        if c == stop or c > len(book) or (c == len(book) and not last):
+            return b"".join(out)
+        x = book[c] if c < len(book) else last + last[:1]
+        if last and len(book) < 4097:
+            book.append(last + x[:1])
+        out.append(x)
+        last, seen = x, seen + 1
+
+
+def test_strings_are_followed_back_as_a_plain_decoder_builds_them():
+    r = random.Random(5)
+    for case in range(120):
+        bits = r.choice([2, 4, 8])
+        n = r.choice([0, 1, 40, 700, 9000])
+        d = bytes(r.choices(range(1 << bits), weights=[2.0**-j for j in range(1 << bits)], k=n)) if case % 3 else bytes(n)
+        code = bytearray(gif.lzw_encode(d, bits))
+        assert gif.lzw_decode(bytes(code), bits, n) == d
+        for _ in range(r.randint(1, 3)):
+            code[r.randrange(len(code))] = r.randrange(256)
+        want = plain_lzw_decode(bytes(code), bits)
+        assert gif.lzw_decode(bytes(code), bits, len(want) + 3) == want + bytes(3)
+        assert gif.lzw_decode(bytes(code), bits, len(want) // 2) == want[: len(want) // 2]
+
+
+def test_decoding_makes_no_call_a_code():
+    words = [f"word{i * i % 997} " for i in range(400)]
+    samples = "".join(random.Random(2).choices(words, k=8000)).encode()
+    code, run = gif.lzw_encode(samples), cProfile.Profile()
+    run.enable()
+    back = gif.lzw_decode(code, 8, len(samples))
+    run.disable()
+    assert back == samples and sum(x.callcount for x in run.getstats()) < len(code) // 8
