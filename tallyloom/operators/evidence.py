@@ -104,7 +104,9 @@ def parsed(df: DataFrame, text: str = "text", out: str = "inv") -> DataFrame:
     rule = F.coalesce("__c.token", F.when(F.col("__c.first").isNotNull(), "schema"))
     error = F.when(rule.isNotNull(), F.struct(rule.alias("rule"), F.when(rule == "schema", F.col("__c.first.path")).alias("path"), F.when(rule == "schema", F.col("__c.first.keyword")).alias("keyword")))
     made = F.when(F.col("__c.token").isNull(), F.from_json("__body", SCHEMA, {"mode": "PERMISSIVE"}))
-    return checked.withColumn(out, made).withColumn(f"{out}_error", error).drop("__body", "__v", "__c")
+    # So does this one: pushed into a filter, the text would be parsed once for each test.
+    kept = [c for c in checked.columns if c != out]
+    return checked.select(*kept, F.explode(F.array(made)).alias(out)).withColumn(f"{out}_error", error).drop("__body", "__v", "__c")
 
 
 def _images_of(entity: Column) -> Column:

@@ -115,5 +115,5 @@ def violations(schema: dict, v: Column) -> Column:
 
 def first_violation(schema: dict, v: Column) -> Column:
     """The first of the sorted violations as (path, keyword), the path joined by slashes, ``(root)`` for the document."""
-    first = F.get(violations(schema, v), F.lit(0))
-    return F.when(first.isNotNull(), F.struct(F.coalesce(F.nullif(F.array_join(first["path"], "/"), F.lit("")), F.lit("(root)")).alias("path"), first["keyword"].alias("keyword")))
+    shown = lambda x: F.when(x.isNotNull(), F.struct(F.coalesce(F.nullif(F.array_join(x["path"], "/"), F.lit("")), F.lit("(root)")).alias("path"), x["keyword"].alias("keyword")))
+    return F.get(F.transform(F.array(F.get(violations(schema, v), F.lit(0))), shown), F.lit(0))

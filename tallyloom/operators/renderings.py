@@ -30,6 +30,11 @@ def _j(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once: an expression would be written out, and computed, wherever it is used."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def quoted(x: Column) -> Column:
     """``x`` as a JSON string: the quote, the backslash and control characters are escaped, all others stand."""
     out = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -181,14 +186,6 @@ _FORMS = {
 }
 
 
-def _form(line: Column, name: str) -> tuple[Column, list[Column]]:
-    """Whether a line has a form, and its groups; a group that took no part is null."""
-    pattern = f"(?s){_FORMS[name]}"
-    n = _groups(_FORMS[name])
-    # No group that took part can be empty but those of a bare text, which are told apart by their form.
-    return line.rlike(pattern), [F.nullif(F.regexp_extract(line, pattern, i), F.lit("")) for i in range(1, n + 1)]
-
-
 def _groups(pattern: str) -> int:
     import re
 
@@ -196,8 +193,14 @@ def _groups(pattern: str) -> int:
 
 
 def _is(line: Column, name: str, make) -> Column:
-    matches, groups = _form(line, name)
-    return F.when(matches, make(*groups))
+    """``make`` of the groups of a line that has a form, else null; a group that took no part is null.
+
+    One match gives all groups: they are put together with line breaks, which no line holds.
+    """
+    n = _groups(_FORMS[name])
+    groups = F.split(F.regexp_replace(line, f"(?s){_FORMS[name]}", "\n".join(f"${i}" for i in range(1, n + 1))), "\n", -1)
+    # No group that took part can be empty but those of a bare text, which are told apart by their form.
+    return _let(groups, lambda g: F.when(F.size(g) == n, make(*[F.nullif(F.get(g, F.lit(i)), F.lit("")) for i in range(n)])))
 
 
 def _order(unknown: Column, order: Column, basis: Column) -> Column:
@@ -236,7 +239,7 @@ def _flat_line(line: Column, i: Column) -> Column:
     camera = r"Camera (cam\d+) took (image_\d+)\."
     ids, images = (F.regexp_extract_all(line, F.lit(camera), F.lit(k)) for k in (1, 2))
     cameras = F.when((i == 3) & line.rlike(rf"\A(?:{camera}(?: (?!\z)|\z))*\z"), F.zip_with(ids, images, lambda a, b: fact("camera", atom_id=a, image_id=b)))
-    return F.coalesce(cameras, F.when(_sound(one).isNotNull(), F.array(one)), F.array().cast(f"array<{FACT}>"))
+    return F.coalesce(cameras, _let(one, lambda o: F.when(_sound(o).isNotNull(), F.array(o))), F.array().cast(f"array<{FACT}>"))
 
 
 _READ = f"struct<facts:array<{FACT}>,bad_line:int>"
@@ -251,6 +254,10 @@ def parse_flat(text: Column) -> Column:
 
 
 def _read(each: Column) -> Column:
+    return _let(each, _read_lines)
+
+
+def _read_lines(each: Column) -> Column:
     bad = F.filter(each, lambda e: ~F.coalesce(e["good"], F.size(e["facts"]) > 0))
     first = F.get(bad, F.lit(0))["line"]
     return F.struct(F.when(first.isNull(), F.array_sort(F.flatten(F.transform(each, lambda e: e["facts"])))).alias("facts"), first.alias("bad_line"))
@@ -307,9 +314,10 @@ def parse_graph(text: Column) -> Column:
         link = F.when(at(2, 1), _is(b, "g_link", lambda ident, a, c, status, level: fact("identity_link", atom_id=ident, items=F.array(a, c), status=status, uncertainty=level)))
         edge = F.when(at(3, 2) & e["head"].isNotNull(), _is(b, "g_edge", lambda ident, subject, name, target, image, support, level, note: fact("claim", atom_id=ident, type=F.lit("relation"), subject=subject, predicate=name, object=target, frame=e["head"], image_id=place(image), items=F.split(support, ","), uncertainty=level, note=unquoted(note))))
         unknown = F.when(at(4, 1), _is(b, "g_unknown", lambda ident, text: fact("unknown", atom_id=ident, text=_maybe_unquoted(text))))
-        one = _sound(F.coalesce(top, node, child, link, edge, unknown))
+        one = F.coalesce(top, node, child, link, edge, unknown)
         frame = at(3, 1) & e["body"].rlike(r"\A\S+\z")
-        return F.struct(e["line"], F.coalesce(e["good"], F.when(frame, True)).alias("good"), F.when(F.coalesce(e["good"], F.lit(False)) | one.isNull(), F.array().cast(f"array<{FACT}>")).otherwise(F.array(one)).alias("facts"))
+        found = F.when(~F.coalesce(e["good"], F.lit(False)), _let(one, lambda o: F.when(_sound(o).isNotNull(), F.array(o))))
+        return F.struct(e["line"], F.coalesce(e["good"], F.when(frame, True)).alias("good"), F.coalesce(found, F.array().cast(f"array<{FACT}>")).alias("facts"))
 
     return _read(F.transform(_graph_lines(text), read))
 

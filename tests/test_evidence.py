@@ -262,3 +262,10 @@ def test_inventories_drawn_from_documents(spark):
         g = got[r.id]
         assert (g.flat_lost, g.flat_extra, g.graph_lost, g.graph_extra) == (0, 0, 0, 0)
         assert g.flat_sha256 == hashlib.sha256(flat_plainly(d).encode()).hexdigest() and g.graph_sha256 == hashlib.sha256(graph_plainly(d).encode()).hexdigest()
+
+
+def test_parsers_match_each_form_once(spark):
+    for parser, forms in ((renderings.parse_flat, 8), (renderings.parse_graph, 9)):
+        plan = spark.createDataFrame([("a",)], "t string").select(parser(F.col("t")).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") <= forms, parser
+        assert plan.count("regexp_extract(") < 60, parser
